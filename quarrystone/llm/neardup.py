@@ -4,9 +4,9 @@ All signature coordinates come from two fixed permutations: a shingle is placed
 and coordinate i is the least value of the second one over the places shifted circularly by i.
 Texts with equal shingle sets form a class first, and only one text of a class goes on.
 Texts that share a band meet in a bucket: every member is verified on full sets against the
-bucket's least member, links are contracted to components, and the pairs of a bucket that are
-still in different components, and that sizes and the triangle inequality of the Jaccard
-distance don't rule out, are then verified too.  So no verified link depends on a cap.
+bucket's least member and links are contracted to components; where a bucket's members are
+still in different components, all its pairs are verified too, block by block, in tasks that
+hold two blocks of bounded size.  So no link depends on a cap.
 
 Edge cases: a null or blank text has the empty set, links with nothing and is kept; a text of
 fewer words than a shingle has one shingle; rows that repeat an id count as one document, each
@@ -113,7 +113,7 @@ def picked(docs: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "lef
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with the exact distance of their full sets, and whether they are linked."""
+    """``pairs`` (a, b) with the exact Jaccard distance of their full sets, and whether they are linked."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     texts = picked(docs.select("doc_id", "text"), ids)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "a", "b")
@@ -162,6 +162,99 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     return met.mapInArrow(run, "a long, b long, distance double, linked boolean")
 
 
+#: Members of a bucket that are compared with each other, or with as many others, in one task.
+BLOCK_MEMBERS = 512
+#: Cells of the membership matrix that a block fills at a time.
+CELLS = 1 << 24
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of 0/1 matrices over slices of the shingles."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, column = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    shared = np.bincount(column, minlength=len(values)) > 1  # a shingle of one set is in no intersection
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out, wide = np.zeros((len(sets), len(sets)), np.float32), max(1, CELLS // max(1, len(sets)))
+    for lo in range(0, int(shared.sum()), wide):
+        i, j = np.searchsorted(column, [lo, lo + wide])
+        m = np.zeros((len(sets), min(wide, int(shared.sum()) - lo)), np.float32)
+        m[owner[i:j], column[i:j] - lo] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def block_links(reps: list[int], parts: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join different parts, as many as it takes to connect what the block's pairs connect."""
+    size = np.array([len(s) for s in sets])
+    both = intersections(sets)
+    union = size[:, None] + size[None, :] - both
+    part = np.array(parts)
+    x, y = np.nonzero(np.triu((100 * both >= percent * union) & (union > 0) & (part[:, None] != part[None, :])))
+    up = {p: p for p in parts}
+
+    def find(p: int) -> int:
+        while up[p] != p:
+            up[p] = up[up[p]]
+            p = up[p]
+        return p
+
+    out = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        p, q = find(parts[i]), find(parts[j])
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+    return out
+
+
+def blocks_verified(docs: DataFrame, left: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between different parts of a bucket, from all pairs of its members' full sets.
+
+    ``left``: (bucket, rep, part, members).  A large bucket is cut into blocks of BLOCK_MEMBERS;
+    every two blocks meet in a task of their own, which returns at most a link for each member,
+    so neither rows nor memory grow with the number of pairs."""
+    n = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("rep", "bucket"), n).cast("int")
+    met = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    asked = left.select("bucket", F.col("rep").alias("doc_id"), "part", F.explode(met).alias("k")).select("bucket", "k.i", "k.j", "doc_id", "part")
+    texts = picked(docs.select("doc_id", "text"), left.select(F.col("rep").alias("doc_id")).distinct())
+    dealt = asked.join(texts, "doc_id").select("bucket", "i", "j", "doc_id", "part", "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, reps, parts, sets = None, [], [], []
+        known: dict[str, np.ndarray] = {}
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for b, i, j, d, p, t in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if key != (b, i, j):
+                    if len(reps) > 1:
+                        out += block_links(reps, parts, sets, percent)
+                    key, reps, parts, sets = (b, i, j), [], [], []
+                s = known.get(t)
+                if s is None:
+                    if len(known) >= 1000:
+                        known.clear()
+                    s = known[t] = next(shingle_sets([t], words))
+                reps.append(d)
+                parts.append(p)
+                sets.append(s)
+            if out:
+                yield _links(out)
+        if len(reps) > 1 and (out := block_links(reps, parts, sets, percent)):
+            yield _links(out)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def near_components(docs: DataFrame, words: int, percent: int, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     if not bands or not rows:
@@ -169,27 +262,21 @@ def near_components(docs: DataFrame, words: int, percent: int, bands: int | None
     seen = cut(profiles(docs, words, bands, rows), "profiles")
     keyed = seen.where("n > 0 AND doc_id IS NOT NULL")
     # one text of each set goes on; links between ids that share a set come from the class itself
-    sets = cut(keyed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "sets")
-    slots = sets.select("rep", "n", F.explode("bands").alias("bucket"))
+    sets = cut(keyed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "sets")
+    slots = sets.select("rep", F.explode("bands").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).where("members > 1")
-    met = cut(slots.join(shared, "bucket").select("bucket", "rep", "n", "leader"), "buckets")
+    met = cut(slots.join(shared, "bucket").select("bucket", "rep", "leader"), "buckets")
     pairs = cut(met.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     tried = cut(verified(docs, pairs, words, percent), "tried")
     parts = cut(components(tried.where("linked"), "a", "b"), "parts")
-    # buckets whose members are still apart
+    # buckets whose members are still apart: their rest is verified block by block
     placed = met.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-    apart = placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
-    far = tried.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "distance")
-    left = placed.where("rep <> leader").join(apart, "bucket").join(far, ["leader", "rep"]).select("bucket", "rep", "n", "part", "distance")
-    left = cut(left, "left")
-    x, y = left.toDF(*(f"{c}_x" for c in left.columns)), left.toDF(*(f"{c}_y" for c in left.columns))
-    slack = 1 - percent / 100 + 1e-9
-    rest = x.join(y, (F.col("bucket_x") == F.col("bucket_y")) & (F.col("rep_x") < F.col("rep_y")) & (F.col("part_x") != F.col("part_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.abs(F.col("distance_x") - F.col("distance_y")) <= slack))
-    rest = cut(rest.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct(), "rest")
-    links = tried.where("linked").select("a", "b")
-    if rest.count():
-        links = links.union(verified(docs, rest, words, percent).where("linked").select("a", "b"))
-        parts = cut(components(cut(links, "linked"), "a", "b"), "parts")
+    apart = placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("bucket", "members")
+    left = cut(placed.join(apart, "bucket").select("bucket", "rep", "part", "members"), "left")
+    more = cut(blocks_verified(docs, left, words, percent), "more")
+    if not more.isEmpty():
+        links = tried.where("linked").select("a", "b").union(more)
+        parts = cut(components(links, "a", "b"), "parts")
     classes = sets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 OR component IS NOT NULL").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     found = seen.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

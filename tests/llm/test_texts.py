@@ -236,3 +236,18 @@ def test_rarest_token(spark):
     pages = spark.createDataFrame([(u,) for u in ["http://a.com/x", "http://b.com/y", "http://b.com/z"]], "url string")
     r = urls.pattern_rule("block", "r", "b", ("com", "b"))
     assert urls.rarest(urls.with_parts(pages), (r,)) == {r: "b"}
+
+
+def test_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30), dtype=np.uint64)) for _ in range(20)]
+    monkeypatch.setattr(neardup, "CELLS", 64)
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert neardup.intersections(sets)[~np.eye(20, dtype=bool)].tolist() == np.array(want)[~np.eye(20, dtype=bool)].tolist()
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 60, 2)]
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 4)
+    left = spark.createDataFrame([(7, i, i, len(texts)) for i in range(len(texts))], "bucket long, rep long, part long, members long")
+    got = [(r.a, r.b) for r in neardup.blocks_verified(brute.documents(spark, texts), left, 3, 85).collect()]
+    links = brute.near_links(dict(enumerate(texts)), 3, 85, 100)[1]
+    assert set(got) <= set(links) and brute.components(range(len(texts)), got) == brute.components(range(len(texts)), links)
