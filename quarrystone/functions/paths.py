@@ -8,18 +8,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from quarrystone.errors import CaseCollision, InvalidPath
 
 _CONTROL = r"[\x00-\x1f\x7f]"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(v: pd.Series) -> pd.Series:
     return v.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold_key(v: pd.Series) -> pd.Series:
     """The full Unicode case folding of a path, by which two paths collide."""
     return v.map(lambda s: None if s is None else s.casefold())
