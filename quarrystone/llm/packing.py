@@ -15,7 +15,7 @@ with null ids are packed each for itself; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import re
+import struct
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -29,20 +29,15 @@ from .common import cut, table
 LENGTH, END = 1024, 2
 #: Pieces that a first partition holds, about; partitions that meet in a later round; sequences that one may open.
 PARTITION, MEET, OPEN = 1024, 8, 128
-#: Words whose ids a worker remembers; beyond, it starts again.
-REMEMBER = 300_000
 
 
 class Encoder:
     """Ids of the byte-level BPE vocabulary, as little-endian unsigned 32-bit integers.
 
-    Special tokens' names in a text are ordinary text.  Where no two white spaces meet, the
-    words between single spaces are encoded apart, each with its space, and remembered: the
-    vocabulary's pattern never joins a space to what stands before it.
+    Special tokens' names in a text are ordinary text.  Texts are encoded whole: remembering
+    words was slower, as most words of a corpus are rare.
     """
 
-    _meet = re.compile(r" \s|\s |^ | $")
-
     def __init__(self, path: str | None = None):
         import public_tokenizers
         import tiktoken
@@ -50,25 +45,10 @@ class Encoder:
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.seen: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not text or self._meet.search(text):
-            return self.whole(text)
-        head, *words = text.split(" ")
-        seen = self.seen
-        if len(seen) > REMEMBER:
-            seen.clear()
-        try:
-            body = b"".join(map(seen.__getitem__, words))
-        except KeyError:
-            for w in set(words).difference(seen):
-                seen[w] = self.whole(" " + w)
-            body = b"".join(map(seen.__getitem__, words))
-        return self.whole(head) + body
+        ids = self.bpe.encode_ordinary(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _encoders: dict[str | None, Encoder] = {}
