@@ -105,6 +105,8 @@ def prefix_matches(names: DataFrame, ids: DataFrame, shortest: int = SHORTEST) -
 
 #: Hours, days and weeks that snapshots are kept by; seconds.
 SCHEDULE = (24 * 3600, 30 * 86400, 182 * 86400)
+#: Up to this many buckets their newest snapshots are broadcast, beyond they are joined by shuffle.
+FEW_BUCKETS = 100_000
 
 
 def bucket(time: str, now: str, schedule: tuple[int, int, int] = SCHEDULE):
@@ -127,7 +129,9 @@ def retention(timeline: DataFrame, now: str, schedule: tuple[int, int, int] = SC
     The newest is found by an aggregate that combines before the shuffle, so a full bucket is no hot task."""
     rows = timeline.withColumn("bucket", bucket("time", now, schedule))
     best = rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.max(F.struct("time", "ref_name")).alias("_best"))
-    out = rows.join(best, "bucket", "left")  # future buckets, a second each, aren't bounded: no broadcast
+    best = written(best, "buckets")
+    # past buckets are bounded by the schedule, future ones (a second each) are not
+    out = rows.join(F.broadcast(best) if best.count() <= FEW_BUCKETS else best, "bucket", "left")
     return out.withColumn("kept", F.coalesce((F.col("time") == F.col("_best.time")) & (F.col("ref_name") == F.col("_best.ref_name")), F.lit(False))).drop("_best")
 
 
