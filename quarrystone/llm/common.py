@@ -18,7 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 GROUP_BYTES = 1 << 18
 
 
+#: Rows and bytes that Spark hands to Python at a time: texts are long, so Spark's default of 10,000 rows would fill a worker.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +47,7 @@ _written: dict[str, SparkSession] = {}
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/quarrystone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark

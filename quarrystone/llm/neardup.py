@@ -165,7 +165,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
 #: Members of a bucket that are compared with each other, or with as many others, in one task.
 BLOCK_MEMBERS = 512
 #: Cells of the membership matrix that a block fills at a time.
-CELLS = 1 << 24
+CELLS = 1 << 22
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
