@@ -11,28 +11,33 @@ from pyspark.sql import functions as F
 from quarrystone.errors import RefNotFound
 from quarrystone.scratch import written
 
-#: Levels of a walk that are planned as one query before its result is written.
-LEVELS = 8
+#: Levels of a walk that are planned as one query before its result is written; parts that are read apart before they are written as one.
+LEVELS, PARTS = 4, 8
 
 
 def closure(roots: DataFrame, edges: DataFrame, node: str = "node", source: str = "source", target: str = "target", limit: int | None = None) -> DataFrame:
     """Every node reachable from ``roots`` with its least depth (0: a root).
 
-    A level joins the frontier with the edges and drops what was seen; every level of the
-    frontier is written, so that plans stay short and a lost executor costs one level."""
+    A round joins LEVELS levels of edges to the frontier, drops what was seen and is written, so
+    that plans stay short and a lost executor costs one round."""
     e = edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_t IS NOT NULL").distinct()
     seen = written(roots.select(F.col(node)).distinct().withColumn("depth", F.lit(0)), "reach")
-    parts, frontier, depth = [seen], seen, 0
+    parts, frontier, depth = [seen], seen.select(node), 0
     while limit is None or depth < limit:
-        depth += 1
-        step = frontier.join(e, F.col(node) == F.col("_s")).select(F.col("_t").alias(node)).distinct()
-        known = reduce(DataFrame.union, parts)
-        frontier = written(step.join(known.select(node), node, "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        steps, level = [], frontier
+        for _ in range(LEVELS if limit is None else min(LEVELS, limit - depth)):
+            depth += 1
+            level = level.join(e, F.col(node) == F.col("_s")).select(F.col("_t").alias(node)).distinct()
+            steps.append(level.withColumn("depth", F.lit(depth)))
+        known = reduce(DataFrame.union, parts).select(node)
+        new = reduce(DataFrame.union, steps).groupBy(node).agg(F.min("depth").alias("depth")).join(known, node, "left_anti")
+        new = written(new, "reach")
+        parts.append(new)
+        if len(parts) > PARTS:
+            parts = [written(reduce(DataFrame.union, parts), "reach")]
+        frontier = new.where(F.col("depth") == depth).select(node)
         if frontier.isEmpty():
             break
-        parts.append(frontier)
-        if len(parts) > LEVELS:
-            parts = [written(reduce(DataFrame.union, parts), "reach")]
     return reduce(DataFrame.union, parts)
 
 
