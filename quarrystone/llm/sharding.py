@@ -13,6 +13,7 @@ rows share a slot; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -80,6 +81,11 @@ def rebalanced(old: list[int], slot_loads: list[tuple[int, int, int]], shards: i
     return out
 
 
+def _array(values: list[int], kind: str):
+    """A constant array column, as one literal: an expression of thousands of literals is slow to plan."""
+    return F.from_json(F.lit(json.dumps([int(v) for v in values])), f"array<{kind}>")
+
+
 class SlotMap:
     """Versions of the slot-to-shard map in a folder that all executors share; one Parquet folder each."""
 
@@ -91,7 +97,7 @@ class SlotMap:
 
     def write(self, shards_of: list[int], version: int) -> None:
         """Refuses to write over a version."""
-        at = F.lit(list(map(int, shards_of)))
+        at = _array(shards_of, "int")
         self.spark.range(len(shards_of), numPartitions=1).select(F.col("id").cast("int").alias("virtual_slot"), F.element_at(at, (F.col("id") + 1).cast("int")).alias("shard")).write.mode("error").parquet(self._folder(version))
 
     def read(self, version: int) -> list[int]:
@@ -116,7 +122,7 @@ def placed(records: DataFrame, shard_map: DataFrame, slot_loads: list[tuple[int,
     for slot, _, n in slot_loads:
         before[slot] = rows.get(shards_of[slot], 0)
         rows[shards_of[slot]] = before[slot] + n
-    at = F.lit([int(before.get(s, 0)) for s in range(len(shards_of))])
+    at = _array([before.get(s, 0) for s in range(len(shards_of))], "bigint")
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     return records.join(F.broadcast(shard_map), "virtual_slot").withColumn("slot", (rank - 1 + F.element_at(at, F.col("virtual_slot") + 1)).cast("long"))  # the map has SLOTS rows
 

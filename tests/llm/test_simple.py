@@ -124,3 +124,17 @@ def test_shards_are_near_equal(spark):
     where = sharding.spread(held, 40)
     size = [sum(b for s, b, _ in held if where[s] == k) for k in range(40)]
     assert max(size) <= 1.01 * min(size)
+
+
+def test_no_documents_no_shards(spark):
+    records = sharding.sized(brute.documents(spark, []))
+    where = sharding.spread(sharding.loads(records), 40)
+    store = sharding.SlotMap(spark, str(sharding.shared_folder(spark)) + "/map-empty")
+    store.write(where, 1)
+    assert sharding.placed(records, store.frame(1), [], store.read(1)).collect() == []
+
+
+def test_nulls_in_metadata():
+    from quarrystone.llm import cotraining
+
+    assert cotraining.metadata_view([None, "en"], [None, "s"], [None, 5], [None, "a b."]).shape[0] == 2 and np.isfinite(cotraining.metadata_view([None], [None], [None], [None])).all()
