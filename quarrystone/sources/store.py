@@ -19,7 +19,7 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone import schemas
@@ -99,9 +99,9 @@ class Store:
         there = self.objects().select("kind", "digest")
         rows = new.dropDuplicates(["kind", "digest"]).join(there, ["kind", "digest"], "left_anti")
         rows = rows.select("digest", F.octet_length("data").cast("long").alias("size"), F.lit(now).cast("timestamp").alias("modified"), "data", "kind", F.substring("digest", 1, 2).alias("prefix"))
-        before = self.objects().count()
-        rows.write.mode("append").partitionBy("kind", "prefix").parquet(self._at("objects"))
-        return self.objects().count() - before
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("kind", "prefix").parquet(self._at("objects"))
+        return seen.get["n"]
 
     def get(self, kind: str, digest: str) -> bytes:
         """A5."""

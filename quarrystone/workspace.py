@@ -200,11 +200,11 @@ class Space:
         parts = ingest(self.spark.createDataFrame([(p,) for p in sorted(fresh)], "path string").repartition(max(1, min(len(fresh), 64))), self.root, self.params, self.form).persist()
         try:
             n = self.store.put(parts.where("chunk_id IS NOT NULL").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("digest"), "data"), now)
-            files = parts.groupBy("path", "file_id", "size").agg(F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "chunk_id", "length")))).alias("c")).collect()
+            whole = parts.groupBy("path", "file_id", "size").agg(F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "chunk_id", "length")))).alias("c"))
+            n += self.store.put(self._file_objects(whole), now)
+            files = whole.select("path", "file_id", "size").collect()
         finally:
             parts.unpersist()
-        texts = {r["file_id"]: codec.encode(codec.File(r["size"], tuple((x["chunk_id"], x["length"]) for x in r["c"])), self.form) for r in files}
-        n += self.store.put(self.spark.createDataFrame([("file", f, bytearray(t)) for f, t in texts.items()], "kind string, digest string, data binary"), now)
         known = {r[0]: tuple(r) for r in self._load("cache", [])}
         cache, by_path = [], {r["path"]: r for r in files}
         for s in stat:
@@ -222,6 +222,18 @@ class Space:
         n += self.store.put(self.spark.createDataFrame([*(("chunk", c, bytearray(x)) for c, x in zip(ids, pieces, strict=True)), ("manifest", manifest_id, bytearray(index))], "kind string, digest string, data binary"), now)
         return manifest_id, rows, len(fresh), n, cache
 
+    def _file_objects(self, files: DataFrame) -> DataFrame:
+        """The objects of files (file_id, size, chunks in order), encoded by executors."""
+        form = self.form
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(0).to_pylist()
+                texts = [codec.encode(codec.File(z, tuple((x["chunk_id"], x["length"]) for x in c)), form) for z, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(["file"] * len(ids), pa.string()), pa.array(ids, pa.string()), pa.array(texts, pa.binary())], names=["kind", "digest", "data"])
+
+        return files.select("file_id", "size", "c").mapInArrow(run, "kind string, digest string, data binary")
+
     def _put_version(self, v: codec.Version, now: dt.datetime) -> str:
         data = codec.encode(v, self.form)
         vid = content_id("version", data, form=self.form)

@@ -231,3 +231,16 @@ def test_catalogue_equals_duckdb(spark):
         if sorted(got, key=key) != sorted(want.fetchall(), key=key):
             wrong.append(name)
     assert not wrong
+
+
+def test_verify_and_scrub(spark):
+    from quarrystone.functions.ids import content_id
+
+    parts = {"p": b"hello ", "q": b"world"}
+    chunks = table(spark, [(k, len(v), bytearray(v)) for k, v in parts.items()], schemas.CHUNKS)
+    whole, other = content_id("file", b"hello world"), content_id("file", b"other")
+    fc = table(spark, [(whole, 0, "p", 0, 6), (whole, 1, "q", 6, 5), (other, 0, "q", 0, 5), ("x", 0, "gone", 0, 3), ("y", 0, "p", 0, 9)], schemas.FILE_CHUNKS)
+    assert {r.file_id: bytes(r.data) for r in storage.reassembled(fc, chunks).collect()}[whole] == b"hello world"
+    assert {r.file_id: r.reason for r in storage.scrub(fc, chunks).collect()} == {other: "content", "x": "missing chunk", "y": "size"}
+    objects = table(spark, [("chunk", content_id("chunk", b"a"), bytearray(b"a")), ("version", content_id("chunk", b"a"), bytearray(b"a")), ("file", whole, bytearray(b"text"))], "kind string, digest string, data binary")
+    assert [r.kind for r in storage.verify(objects).collect()] == ["version"]
