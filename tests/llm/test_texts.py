@@ -177,6 +177,36 @@ def test_passages_of_odd_tables(spark, texts):
     run(texts)
 
 
+def covered(got, doc):
+    return {c for r in got if r.doc_id == doc for c in range(r.start, r.end)}
+
+
+def test_passages_split_over_earlier_documents(spark):
+    """B and C share 60 words whose halves many earlier documents have apart."""
+    rng = random.Random(21)
+    words = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    halves = words(30), words(30)
+    half = lambda k: " ".join([*words(20), *halves[k], *words(20)])
+    both = " ".join([*halves[0], *halves[1]])
+    docs = [half(k) for _ in range(12) for k in (0, 1)]
+    docs += [both + " " + " ".join(words(30))] + [half(k) for _ in range(12) for k in (0, 1)]
+    docs.append(" ".join(words(25)) + " " + both)
+    got = passages.passages(brute.documents(spark, docs)).collect()
+    start = docs[-1].index(both)
+    assert {(r.doc_id, r.source_doc_id) for r in got} == {(len(docs) - 1, 24)}
+    assert covered(got, len(docs) - 1) == set(range(start, start + len(both)))
+
+
+def test_periodic_passages(spark):
+    rng = random.Random(22)
+    words = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    for period in (1, 4, 10, 25):
+        p = " ".join(words(period) * (120 // period))
+        docs = [" ".join(words(30)) + " " + p, p + " " + " ".join(words(30))]
+        got = passages.passages(brute.documents(spark, docs)).collect()
+        assert {r.doc_id for r in got} == {1} and covered(got, 1) >= set(range(len(p)))
+
+
 def test_minimizers_leave_no_window_empty():
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 12, 13, 500):
