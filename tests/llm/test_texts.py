@@ -207,6 +207,18 @@ def test_periodic_passages(spark):
         assert {r.doc_id for r in got} == {1} and covered(got, 1) >= set(range(len(p)))
 
 
+def test_passages_with_many_changed_words(spark):
+    """Evenly spaced changes of 10 to 15 % of 60 words."""
+    rng = random.Random(23)
+    words = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    for i in range(60):
+        p, n = words(60), 6 + i % 4
+        changed = {(2 * k + 1) * 60 // (2 * n) for k in range(n)}
+        docs += [" ".join([*words(30), *p, *words(30)]), " ".join([*words(20), *("other" if k in changed else w for k, w in enumerate(p)), *words(20)])]
+    assert {(r.doc_id, r.source_doc_id) for r in passages.passages(brute.documents(spark, docs)).collect()} == {(i, i - 1) for i in range(1, 120, 2)}
+
+
 def test_minimizers_leave_no_window_empty():
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 12, 13, 500):
