@@ -219,6 +219,15 @@ def test_passages_with_many_changed_words(spark):
     assert {(r.doc_id, r.source_doc_id) for r in passages.passages(brute.documents(spark, docs)).collect()} == {(i, i - 1) for i in range(1, 120, 2)}
 
 
+def test_seeds_far_into_a_text():
+    far = np.array([0, 2**24 - 1, 2**24, 2**24 + 7, 2**33], np.int64)
+    doc = np.array([-(1 << 62), -5, 3, 3, (1 << 62)], np.int64)
+    key, ids, word = passages.unpacked(passages.packed(np.arange(5, dtype=np.uint64), doc, far))
+    assert key.tolist() == list(range(5)) and ids.tolist() == doc.tolist() and word.tolist() == far.tolist()
+    got = passages.links(np.array([9, 9]), np.array([1, 2]), np.array([2**24 + 7, 2**25]), False)
+    assert [x.tolist() for x in got] == [[2], [2**25], [1], [2**24 + 7]]
+
+
 def test_minimizers_leave_no_window_empty():
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 12, 13, 500):
