@@ -57,12 +57,18 @@ def _codes(token: str) -> np.ndarray:
     return np.concatenate([[_N - 1], _CODE[raw]])
 
 
-def bigram_model(samples: Iterable[str], smooth: float = 0.5) -> np.ndarray:
-    """Log-probabilities of each character after each."""
-    n = np.full((_N, _N), smooth)
+def bigrams(samples: Iterable[str]) -> np.ndarray:
+    """How often each character comes after each."""
+    n = np.zeros((_N, _N), np.int64)
     for s in samples:
         c = _codes(s)
         np.add.at(n, (c[:-1], c[1:]), 1)
+    return n
+
+
+def bigram_model(samples: Iterable[str], smooth: float = 0.5, more: np.ndarray | None = None) -> np.ndarray:
+    """Log-probabilities of each character after each; ``more``: further bigrams."""
+    n = bigrams(samples) + smooth + (0 if more is None else more)
     return np.log(n / n.sum(axis=1, keepdims=True))
 
 
@@ -107,13 +113,14 @@ def identifiers(n: int, seed: int = 18) -> list[str]:
     return out
 
 
-def train(random_samples: dict[str, list[str]], ordinary: list[str], words: list[str] = ()) -> Models:
+def train(random_samples: dict[str, list[str]], ordinary: list[str], words: Iterable[str] | np.ndarray = ()) -> Models:
     """Models from four fifths of the labelled samples; the threshold is between the rest's scores.
 
-    ``words`` are further ordinary strings, only for training: shorter than candidates may be."""
+    ``words`` are further ordinary strings or their bigrams, only for training: shorter than candidates may be."""
     held = lambda v: [x for i, x in enumerate(v) if i % 5 == 0]
     rest = lambda v: [x for i, x in enumerate(v) if i % 5]
-    got = Models(bigram_model([*rest(ordinary), *words]), [bigram_model(rest(v)) for v in random_samples.values()], 0.0)
+    more = words if isinstance(words, np.ndarray) else bigrams(words)
+    got = Models(bigram_model(rest(ordinary), more=more), [bigram_model(rest(v)) for v in random_samples.values()], 0.0)
     plain = sorted(map(got.score, held(ordinary)))
     odd = sorted(got.score(x) for v in random_samples.values() for x in held(v))
     low, high = plain[-1 - len(plain) // 1000] if plain else 0.0, odd[len(odd) // 100] if odd else 0.0
@@ -136,19 +143,32 @@ def spans(text: str, models: Models) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-#: Samples of each random kind, of identifiers, and the documents (least hashes of doc_id) whose words train the ordinary model.
-SAMPLES, WORD_DOCUMENTS = 2000, 500
+#: Samples of each random kind, and of identifiers.
+SAMPLES = 2000
+
+
+def word_bigrams(docs: DataFrame) -> np.ndarray:
+    """Bigrams of the distinct plain words of all documents, counted where the words are; at most _N * _N sums reach the driver."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"[A-Za-z]+"), F.lit(0))).alias("w")).where("length(w) <= 40").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((_N, _N), np.int64)
+        for b in batches:
+            raw = np.frombuffer("\n".join(["", *b.column(0).to_pylist(), ""]).encode(), np.uint8)
+            c = np.where(raw == 10, _N - 1, _CODE[raw])
+            n += np.bincount((c[:-1] * _N + c[1:])[c[1:] != _N - 1], minlength=_N * _N).reshape(_N, _N)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n.ravel()[at], pa.int64())], names=["pair", "n"])
+
+    out = np.zeros(_N * _N, np.int64)
+    for r in words.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r["pair"]] = r["n"]
+    return out.reshape(_N, _N)
 
 
-def fitted(docs: DataFrame, samples: int = SAMPLES, documents: int = WORD_DOCUMENTS) -> Models:
-    """Models from generated labelled samples and the distinct plain words of a bounded sample of documents."""
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    words = (
-        docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most WORD_DOCUMENTS ids
-        .select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]+"), F.lit(0))).alias("w")).distinct().where("length(w) <= 40")
-        .orderBy(F.xxhash64("w"), "w").limit(50_000)
-    )
-    return train(random_strings(samples), identifiers(samples), sorted(r["w"] for r in words.collect()))
+def fitted(docs: DataFrame, samples: int = SAMPLES) -> Models:
+    """Models from generated labelled samples and the distinct plain words of all documents."""
+    return train(random_strings(samples), identifiers(samples), word_bigrams(docs))
 
 
 def joined(found: list[Span]) -> str:

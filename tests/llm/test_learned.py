@@ -108,6 +108,15 @@ def test_fitted_models(spark):
     assert secrets.fitted(df).threshold > 0 and secrets.fitted(df.limit(0)).threshold > 0
 
 
+def test_words_of_all_documents_train_the_ordinary_model(spark):
+    """One document among 3,000 has words of another language."""
+    rare = ["zxqvwk", "qxzjvk", "wvxzqj", "kqjxzv"]
+    df = brute.documents(spark, [f"common words number {i}" for i in range(2999)] + [" ".join(rare)])
+    n = secrets.word_bigrams(df)
+    assert (n == secrets.bigrams(["common", "words", "number", *rare])).all()
+    assert (secrets.fitted(df).ordinary == secrets.train(secrets.random_strings(2000), secrets.identifiers(2000), ["common", "words", "number", *rare]).ordinary).all()
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(12)
     docs, labels = corpus(rng)
