@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 LENGTH, END = 1024, 2
+#: The special token of byte_bpe_50k.json.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Pieces that a first partition holds, about; partitions that meet in a later round; sequences that one may open.
 PARTITION, MEET, OPEN = 1024, 8, 128
 
@@ -34,30 +36,33 @@ PARTITION, MEET, OPEN = 1024, 8, 128
 class Encoder:
     """Ids of the byte-level BPE vocabulary, as little-endian unsigned 32-bit integers.
 
-    Special tokens' names in a text are ordinary text.  Texts are encoded whole: remembering
-    words was slower, as most words of a corpus are rare.
+    With ``special``, the name of the special token in a text is that token, as for the library
+    tokenizers with add_special_tokens=False; else it is ordinary text, as with its
+    encode_special_tokens.  Texts are encoded whole: remembering words was slower, as most
+    words of a corpus are rare.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, special: bool = False):
         import public_tokenizers
         import tiktoken
 
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL if special else {})
+        self.allowed = set(SPECIAL) if special else set()
 
     def __call__(self, text: str) -> bytes:
-        ids = self.bpe.encode_ordinary(text)
+        ids = self.bpe.encode(text, allowed_special=self.allowed, disallowed_special=())
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_encoders: dict[str | None, Encoder] = {}
+_encoders: dict[tuple[str | None, bool], Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str | None = None, special: bool = False) -> Encoder:
+    if (path, special) not in _encoders:
+        _encoders[path, special] = Encoder(path, special)
+    return _encoders[path, special]
 
 
 def cuts(n: int, limit: int = LENGTH) -> list[tuple[int, int]]:
@@ -69,12 +74,12 @@ def cuts(n: int, limit: int = LENGTH) -> list[tuple[int, int]]:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str | None = None, limit: int = LENGTH, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, limit: int = LENGTH, end: int = END, special: bool = False) -> DataFrame:
     """The pieces of every document; one pass, no shuffle."""
     stop = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = encoder(path)
+        of = encoder(path, special)
         for b in batches:
             out: list[tuple] = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -171,9 +176,9 @@ def _round(items: DataFrame, last: bool, limit: int = LENGTH) -> DataFrame:
     return items.repartition("part").sortWithinPartitions("part", "length", "ids_crc32", "doc_id", "piece").mapInArrow(run, ROUND)
 
 
-def packed(docs: DataFrame, path: str | None = None, limit: int = LENGTH, end: int = END) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, limit: int = LENGTH, end: int = END, special: bool = False) -> DataFrame:
     """Every piece with its sequence and its place there."""
-    all_ = cut(pieces(docs, path, limit, end), "pieces")
+    all_ = cut(pieces(docs, path, limit, end, special), "pieces")
     cols = [x.split()[0] for x in PIECES.split(", ")]
     full = all_.where(F.col("length") == limit).select(*cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = all_.where(F.col("length") < limit)
@@ -190,4 +195,4 @@ def packed(docs: DataFrame, path: str | None = None, limit: int = LENGTH, end: i
 
 
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"), special=True)

@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quarrystone.llm import graph, neardup, packing, passages, pieces, urls
 from tests.llm import brute
 
@@ -80,6 +81,20 @@ def test_packing(spark, texts, monkeypatch):
     assert len(packing.packed(brute.documents(spark, [(1, "a"), (1, "a"), (None, None)])).collect()) == 3
 
 
+def test_packing_of_special_tokens(spark, tmp_path):
+    """The registered query and the pipeline encode as the library does by default."""
+    texts = ["<|endoftext|> x", "a<|endoftext|><|endoftext|>\n\n b", "<|endoftext|", "<|endoftext|>" * 1500, "x"]
+    brute.documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {d: np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4") for d, x in enumerate(texts)}
+    assert want[0].tolist() == [50256, 2124, 2]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for got in (packing.op8_best_fit(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got.collect()} == {
+            (d, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for d, ids in want.items() for i, (s, n) in enumerate(packing.cuts(len(ids)))
+        }
+
+
 def test_bounds():
     rng = random.Random(4)
     assert packing.lower_bound([]) == 0 and packing.lower_bound([513] * 7) == 7 and packing.lower_bound([342] * 6) == 3
