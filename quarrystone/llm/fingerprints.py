@@ -6,21 +6,23 @@ number of distinct shingles.  Up to k distinct shingles every estimate is exact.
 
 Edge cases: a null text counts as empty; an empty text has an empty sketch, with likeness 1
 to another empty one and 0 to any other; equal texts have equal sketches; a text of fewer
-words than a shingle has its whole word sequence as its one shingle.
+words than a shingle has its whole word sequence as its one shingle.  Ids are cast to long;
+rows with one id follow each other by their texts, a null id comes first, the only
+row follows itself, and an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from .common import Words, encode, table
 
@@ -80,23 +82,23 @@ def from_text(s: str) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", k: int = K, words: int = WORDS) -> DataFrame:
-    """Adds ``fingerprint`` (base64 text) to every row of ``docs``; no shuffle."""
-    @pandas_udf("string")
-    def of(t: pd.Series) -> pd.Series:
-        return pd.Series([to_text(sketch(x, k, words)) for x in t], index=t.index, dtype=object)
+    """Adds ``fingerprint`` (base64 text) to every row of ``docs``, in place of a column of that name; no shuffle."""
+    @F.arrow_udf("string")
+    def of(t: pa.Array) -> pa.Array:
+        return pa.array([to_text(sketch(x, k, words)) for x in t.to_pylist()], pa.string())
 
     return docs.withColumn("fingerprint", of(F.col(text)))
 
 
 def merged(df: DataFrame, key: str, fingerprint: str = "fingerprint", k: int = K) -> DataFrame:
-    """The fingerprint of each key's union of parts.
+    """The fingerprint of each key's union of parts; null fingerprints add nothing.
 
     Only the parts' hashes move: each is one long, distinct per key before and after the shuffle,
     and the k smallest are kept by salted rounds, so that a hot key never meets whole in one task.
     """
-    @pandas_udf("string")
-    def pack(v: pd.Series) -> pd.Series:
-        return pd.Series([to_text(merge(*[from_text(x) for x in xs], k=k)) for xs in v], dtype=object)
+    @F.arrow_udf("string")
+    def pack(v: pa.Array) -> pa.Array:
+        return pa.array([to_text(merge(*[from_text(x) for x in xs], k=k)) for xs in v.to_pylist()], pa.string())
 
     part = df.select(key, F.col(fingerprint).alias("_f")).withColumn("_s", F.pmod(F.xxhash64("_f"), F.lit(1 << 16)).cast("int"))
     for bits in (8, 0):  # two rounds of at most about 256 sketches a task for up to 65,536 parts, and distinct ones only
@@ -107,56 +109,77 @@ def merged(df: DataFrame, key: str, fingerprint: str = "fingerprint", k: int = K
     return part.select(key, F.col("_f").alias(fingerprint))
 
 
-#: Rows that share a bucket of neighbours, about; and the most buckets, a list that every task gets.
-BUCKET_ROWS, MOST_BUCKETS = 64, 65536
+#: Buckets of neighbouring rows for each shuffle partition; sampled places for each bucket, which the driver sorts; code points of a text in a place.
+BUCKETS, SAMPLED, PREFIX = 2, 50, 64
+#: Stands for a null key: the least one.
+_LEAST = -(1 << 63)
 
 
-def neighbour_buckets(docs: DataFrame, key: str = "doc_id") -> list[int]:
-    """Ascending cuts of ``key`` into buckets of about BUCKET_ROWS rows, at most MOST_BUCKETS of them; reads the key only."""
-    n = docs.select(F.count(key)).first()[0]
-    want = min(MOST_BUCKETS, n // BUCKET_ROWS)
-    if want < 2:
-        return []
-    cuts = docs.select(F.percentile_approx(key, [i / want for i in range(1, want)], 20 * want)).first()[0]
-    return sorted(set(cuts))
+def neighbour_cuts(docs: DataFrame, key: str, text: str, buckets: int) -> tuple[list[tuple[int, str]], bool]:
+    """(least places of the buckets, whether equal keys are parted by the first code points of their texts).
 
+    Places are those of sampled rows, so each cut is the place of a row, and the first cut is the
+    least place of all.  Only SAMPLED places a bucket reach the driver.  Texts are read only where
+    few keys have more than a bucket's rows.
+    """
+    k = F.coalesce(F.col(key).cast("long"), F.lit(_LEAST))
+    n, least = docs.select(F.count("*"), F.min(k)).first()
+    if not n:
+        return [], False
+    share = min(1.0, SAMPLED * buckets / n)
 
-def with_next(docs: DataFrame, score, schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Applies ``score`` to each row and its successor by ``key``; the last row's successor is the first row.
+    def cuts(places: DataFrame, first: tuple[int, str]) -> list[tuple[int, str]]:
+        got = sorted(tuple(r) for r in places.sample(share, 7).collect())
+        return sorted({first, *(got[len(got) * i // buckets] for i in range(1, buckets) if got)})
+
+    out = cuts(docs.select(k, F.lit("")), (least, ""))
+    if n <= 2 * buckets or len(out) > 3 * buckets // 4:
+        return out, False
+    at = docs.select(k.alias("k"), _prefix(F.col(text)).alias("h"))
+    return cuts(at, tuple(at.agg(F.min(F.struct("k", "h")).alias("m")).select("m.*").first())), True
 
-    One shuffle: rows go to buckets of neighbouring keys, and the first row of a bucket goes also
-    to the bucket before it.  ``score(rows)`` gets an iterator of (key, text, next text).
-    Rows with equal keys follow each other by text; null keys come first.
-    """
-    cuts = neighbour_buckets(docs, key)
-    at, n = np.array(cuts, np.int64), len(cuts) + 1
 
-    def home(k):
-        return np.where(k.isna(), 0, np.searchsorted(at, k.fillna(0).astype("int64"), side="right")).astype("int32")
+def _prefix(text):
+    return F.substring(F.coalesce(text.cast("string"), F.lit("")), 1, PREFIX)
 
-    @pandas_udf("int")
-    def bucket(k: pd.Series) -> pd.Series:
-        return pd.Series(home(k))
 
-    found = docs.select(bucket(key).alias("b"), key).groupBy("b").agg(F.min(key).alias("k"), F.count_if(F.col(key).isNull()).alias("nulls")).collect()  # at most MOST_BUCKETS rows
-    there = sorted(r["b"] for r in found)
-    heads = {r["b"]: None if r["nulls"] else r["k"] for r in found}
-    before = {b: there[i - 1] for i, b in enumerate(there)}  # of the first bucket: the last
+def _literal(places: list, kind: str):
+    """A constant array of places, as one literal."""
+    return F.from_json(F.lit(json.dumps(places)), kind)
 
-    @pandas_udf("array<struct<b:int,tail:int>>")
-    def places(k: pd.Series) -> pd.Series:
-        """The row's own bucket, and, if the row is the first there, the bucket before."""
-        return pd.Series([[{"b": b, "tail": 0}, *([{"b": before[b], "tail": 1}] if heads[b] == x else [])] for b, x in zip(home(k).tolist(), (None if x != x else int(x) for x in k), strict=True)])
 
-    dealt = docs.select(F.explode(places(key)).alias("_d"), F.col(key).alias("_k"), F.col(text).alias("_t")).select("_d.b", "_d.tail", "_k", "_t")
-    parts = max(1, min(n, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = dealt.repartition(parts, "b").sortWithinPartitions("b", "tail", F.col("_k").asc_nulls_first(), F.col("_t").asc_nulls_first())
+def with_next(docs: DataFrame, score, schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Applies ``score`` to each row and its successor by ``key``; the last row's successor is the first row.
+
+    One shuffle: rows go to buckets of neighbouring keys, found by a two-step search in a literal
+    of cuts, and the rows at a bucket's cut go also to the bucket before it.  ``score(rows)`` gets
+    an iterator of (key, text, next text).  Keys are cast to long; rows with equal keys follow
+    each other by text; null keys come first.
+    """
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts, parted = neighbour_cuts(docs, key, text, buckets)
+    cuts = cuts or [(_LEAST, "")]
+    wide = max(1, math.isqrt(len(cuts)))
+    fine = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+    place = lambda c: {"k": c[0], "h": c[1]}
+    one = "array<struct<k:bigint,h:string>>"
+    coarse, lists = _literal([place(f[0]) for f in fine], one), _literal([[place(c) for c in f] for f in fine], f"array<{one}>")
+    rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t"))
+    rows = rows.withColumn("_p", F.struct(F.coalesce("_k", F.lit(_LEAST)).alias("k"), (_prefix(F.col("_t")) if parted else F.lit("")).alias("h")))
+    upto = lambda a: F.size(F.filter(a, lambda c: c <= F.col("_p")))
+    rows = rows.withColumn("_g", F.greatest(upto(coarse), F.lit(1))).withColumn("_c", F.element_at(lists, F.col("_g"))).withColumn("_n", upto(F.col("_c")))
+    home = ((F.col("_g") - 1) * wide + F.greatest(F.col("_n"), F.lit(1)) - 1).cast("int")
+    # a row at its bucket's cut goes also to the end of the bucket before; the first bucket's to the last
+    head = F.element_at("_c", F.greatest(F.col("_n"), F.lit(1))) == F.col("_p")
+    own, tail = F.struct(home.alias("b"), F.lit(0).alias("tail")), F.struct(F.pmod(home - 1, F.lit(len(cuts))).cast("int").alias("b"), F.lit(1).alias("tail"))
+    dealt = rows.select(F.explode(F.when(head, F.array(own, tail)).otherwise(F.array(own))).alias("_d"), "_k", "_t").select("_d.b", "_d.tail", "_k", "_t")
+    dealt = dealt.repartitionById(len(cuts), "b").sortWithinPartitions("b", "tail", F.col("_k").asc_nulls_first(), F.col("_t").asc_nulls_first())
 
     def rows_of(batches):
         """(key, text, next text) of each row that is at home in its bucket."""
         held, done = None, False
-        for b in batches:
-            for bk, tail, k, t in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for batch in batches:
+            for bk, tail, k, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if held is not None and held[0] == bk and not done:
                     yield held[1], held[2], t
                 if tail:
@@ -184,17 +207,20 @@ def _score(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
     out: list[tuple] = []
     known: tuple[str | None, np.ndarray | None] = (None, None)  # the next text is soon the own text
+    last: tuple | None = None  # own text, next text and their results: copies may follow each other
 
     def flush():
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     for k, own, after in rows:
         own, after = own or "", after or ""
-        other = edited(own, after)
-        a = known[1] if known[0] is not None and known[0] == own else sketch(own)
-        n, e = sketch(after), sketch(other)
-        known = after, n
-        out.append((k, len(own), hashlib.sha256(other.encode("utf-8", "replace")).hexdigest(), to_text(a), to_text(e), resemblance(a, e), resemblance(a, n), distinct(a), containment(a, e)))
+        if last is None or last[0] != own or last[1] != after:
+            other = edited(own, after)
+            a = known[1] if known[0] is not None and known[0] == own else sketch(own)
+            n, e = (a if after == own else sketch(after)), sketch(other)
+            known = after, n
+            last = own, after, (len(own), hashlib.sha256(other.encode("utf-8", "replace")).hexdigest(), to_text(a), to_text(e), resemblance(a, e), resemblance(a, n), distinct(a), containment(a, e))
+        out.append((k, *last[2]))
         if len(out) >= 512:
             yield flush()
             out.clear()

@@ -60,6 +60,26 @@ def test_fingerprints_over_many_buckets(spark):
     assert {r.doc_id // 3: r.edited_sha256 for r in got} == {i: brute.sha(fingerprints.edited(t, text[(i + 1) % 1000])) for i, t in enumerate(text)}
 
 
+def test_fingerprints_of_hot_keys(spark):
+    """Half of the rows have one id, a quarter none; many are equal rows; texts share long beginnings."""
+    rng = random.Random(12)
+    rows = [(5, f"{'same start ' * (i % 3 * 10)}{rng.randrange(200)} b c d e f") for i in range(1200)] + [(None, None if i % 2 else f"n{i} n n n n n") for i in range(600)] + [(i, f"t{i} a b c d e") for i in range(600)]
+    rng.shuffle(rows)
+    cuts, parted = fingerprints.neighbour_cuts(brute.documents(spark, rows), "doc_id", "text", 64)
+    assert parted and len({c for c in cuts if c[0] == 5}) > 3
+    got = fingerprints.with_next(brute.documents(spark, rows), fingerprints._score, fingerprints.OUT).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    want = [(str(d), brute.sha(fingerprints.edited(t or "", after or ""))) for (d, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True)]
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in got) == sorted(want)
+
+
+def test_fingerprints_of_a_long_text(spark):
+    long = " ".join(f"x{i}" for i in range(200_000))
+    got = {r.doc_id: r for r in fingerprints.with_next(brute.documents(spark, [long, "a b", long]), fingerprints._score, fingerprints.OUT).collect()}
+    assert got[0].fingerprint == got[2].fingerprint and got[2].near_next == 1.0 and got[0].n_chars == len(long) and got[0].n_distinct == pytest.approx(199_996, rel=0.2)
+
+
+
 def test_statistics(texts):
     got = rules.statistics_of(texts)[:, :5].astype(int)
     assert [tuple(x) for x in got] == [brute.statistics(t) for t in texts]
