@@ -163,6 +163,19 @@ class Words:
             h ^= h >> np.uint64(32)
         return mix64(h), off
 
+    def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of k words within a text, and where each text's begin (with the total at the end).
+
+        Differences of one running sum, so that long runs cost as little as short ones."""
+        n = np.diff(self.first)
+        count = np.maximum(n - k + 1, 0)
+        off = np.concatenate([[0], np.cumsum(count)])
+        at = np.repeat(self.first[:-1] - off[:-1], count) + np.arange(off[-1])
+        _grow(len(self.hashes) + 1)
+        total = np.zeros(len(self.hashes) + 1, np.uint64)
+        np.cumsum(self.hashes * _powers[: len(self.hashes)], out=total[1:])
+        return mix64((total[at + k] - total[at]) * _inverse[at]), off
+
 
 def shingle_sets(texts: Sequence[str | None], k: int, lower: bool = True) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, in order."""

@@ -237,23 +237,70 @@ def test_passages_with_many_changed_words(spark):
 def test_seeds_far_into_a_text():
     far = np.array([0, 2**24 - 1, 2**24, 2**24 + 7, 2**33], np.int64)
     doc = np.array([-(1 << 62), -5, 3, 3, (1 << 62)], np.int64)
-    key, ids, word = passages.unpacked(passages.packed(np.arange(5, dtype=np.uint64), doc, far))
+    ids, word, key = passages.unpacked(passages.packed(doc, far, np.arange(5)), 3)
     assert key.tolist() == list(range(5)) and ids.tolist() == doc.tolist() and word.tolist() == far.tolist()
+    odd = [np.array([-(1 << 63), (1 << 63) - 1, 0]), np.array([-1, 1 << 62, -(1 << 62)]), np.zeros(3, np.int64)]
+    assert [c.tolist() for c in passages.unpacked(passages.packed(*odd), 3)] == [c.tolist() for c in odd]
+    assert [len(c) for c in passages.unpacked(passages.packed(*[np.zeros(0, np.int64)] * 2), 2)] == [0, 0]
     got = passages.links(np.array([9, 9]), np.array([1, 2]), np.array([2**24 + 7, 2**25]), False)
     assert [x.tolist() for x in got] == [[2], [2**25], [1], [2**24 + 7]]
 
 
-def test_minimizers_leave_no_window_empty():
-    rng = np.random.default_rng(2)
-    for n in (0, 1, 5, 12, 13, 500):
-        h = rng.integers(1, 1 << 60, n, dtype=np.uint64)
-        at = passages.minimizers(h, np.array([0, n]))
-        assert (n == 0) == (len(at) == 0)
-        want = sorted({s + int(h[s : s + 12].argmin()) for s in range(max(1, n - 11))}) if n else []
-        assert at.tolist() == want
-    h = rng.integers(1, 1 << 60, 900, dtype=np.uint64)
-    off = np.array([0, 0, 3, 200, 200, 215, 900])
-    assert passages.minimizers(h, off).tolist() == [a + x for a, b in zip(off[:-1], off[1:], strict=True) for x in passages.minimizers(h[a:b], np.array([0, b - a])).tolist()]
+def test_every_run_of_equal_words_is_found(spark):
+    """Documents of pieces of a few shared passages, 0 to 300 words apart, against an exhaustive search for runs of MIN_WORDS words."""
+    rng = random.Random(31)
+    word = lambda: f"q{rng.randrange(10**6)}"
+    shared = [[word() for _ in range(300)] for _ in range(4)]
+    texts = []
+    for _ in range(90):
+        body = [word() for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(4)):
+            p, n = rng.choice(shared), rng.randrange(10, 120)
+            at = rng.randrange(300 - n)
+            body += [*p[at : at + n], *(word() for _ in range(rng.choice([0, 1, 5, 40, 80, 300])))]
+        texts.append(body)
+    got = passages.passages(brute.documents(spark, [" ".join(t) for t in texts])).collect()
+    seen, want = set(), 0
+    for d, t in enumerate(texts):
+        runs = {i: tuple(t[i : i + passages.MIN_WORDS]) for i in range(len(t) - passages.MIN_WORDS + 1)}
+        start = np.cumsum([0, *(len(w) + 1 for w in t)])
+        held = {i + j for i, r in runs.items() if r in seen for j in range(passages.MIN_WORDS)}
+        want += len(held)
+        found = covered(got, d)
+        assert all(found.issuperset(range(start[i], start[i] + len(t[i]))) for i in held)
+        seen.update(runs.values())
+    assert want > 2000
+    for r in got:
+        assert r.source_doc_id < r.doc_id and r.likeness >= passages.LIKENESS
+
+
+def test_passages_that_most_documents_have(spark):
+    """More documents of one task than HOT share a passage, and a part of it."""
+    rng = random.Random(32)
+    words = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    p = words(70)
+    texts = [" ".join([*words(20), *(p if i % 3 else p[:50]), *words(20)]) for i in range(4 * passages.HOT)]
+    got = passages.passages(brute.documents(spark, texts).coalesce(1)).collect()
+    for i, t in enumerate(texts[1:], 1):
+        start = t.index(" ".join(p[:50]))
+        assert covered(got, i) >= set(range(start, start + len(" ".join(p if i % 3 and i > 1 else p[:50]))))
+    key, doc = np.array([7] * 200 + [8] * 30 + [7 + (1 << 50)] * 70, np.uint64), np.array([*range(130), *range(70), *[5] * 30, *[1] * 70])
+    assert passages.hot(key, doc).tolist() == [True] * 200 + [False] * 100
+    assert passages.firsts(key[:200], doc[:200]).tolist() == [i in (0, 130) for i in range(200)]
+
+
+def test_common_words_and_steps():
+    rng = random.Random(33)
+    for _ in range(100):
+        a, b = [rng.randrange(6) for _ in range(rng.randrange(1, 30))], [rng.randrange(6) for _ in range(rng.randrange(1, 30))]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert passages.common(a, b) == best[-1][-1]
+    a = np.arange(30)
+    b = np.concatenate([a[:10], [99], a[10:]])
+    assert passages.steps(a, np.array([0, 6, 12, 20]), b, np.array([0, 6, 13, 21])).tolist() == [6, 6, 8]
 
 
 def test_chains_are_best():
