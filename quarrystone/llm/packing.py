@@ -37,12 +37,11 @@ class Encoder:
     """Ids of the byte-level BPE vocabulary, as little-endian unsigned 32-bit integers.
 
     With ``special``, the name of the special token in a text is that token, as for the library
-    tokenizers with add_special_tokens=False; else it is ordinary text, as with its
-    encode_special_tokens.  Texts are encoded whole: remembering words was slower, as most
+    tokenizers with add_special_tokens=False; else it is ordinary text.  Texts are encoded whole: remembering words was slower, as most
     words of a corpus are rare.
     """
 
-    def __init__(self, path: str | None = None, special: bool = False):
+    def __init__(self, path: str | None = None, special: bool = True):
         import public_tokenizers
         import tiktoken
 
@@ -59,7 +58,7 @@ class Encoder:
 _encoders: dict[tuple[str | None, bool], Encoder] = {}
 
 
-def encoder(path: str | None = None, special: bool = False) -> Encoder:
+def encoder(path: str | None = None, special: bool = True) -> Encoder:
     if (path, special) not in _encoders:
         _encoders[path, special] = Encoder(path, special)
     return _encoders[path, special]
@@ -74,7 +73,7 @@ def cuts(n: int, limit: int = LENGTH) -> list[tuple[int, int]]:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str | None = None, limit: int = LENGTH, end: int = END, special: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, limit: int = LENGTH, end: int = END, special: bool = True) -> DataFrame:
     """The pieces of every document; one pass, no shuffle."""
     stop = np.array([end], "<u4").tobytes()
 
@@ -176,14 +175,15 @@ def _round(items: DataFrame, last: bool, limit: int = LENGTH) -> DataFrame:
     return items.repartition("part").sortWithinPartitions("part", "length", "ids_crc32", "doc_id", "piece").mapInArrow(run, ROUND)
 
 
-def packed(docs: DataFrame, path: str | None = None, limit: int = LENGTH, end: int = END, special: bool = False) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, limit: int = LENGTH, end: int = END, special: bool = True) -> DataFrame:
     """Every piece with its sequence and its place there."""
     all_ = cut(pieces(docs, path, limit, end, special), "pieces")
     cols = [x.split()[0] for x in PIECES.split(", ")]
     full = all_.where(F.col("length") == limit).select(*cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = all_.where(F.col("length") < limit)
     parts = max(1, -(-rest.count() // PARTITION))
-    items = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    # the row's place in the table spreads equal rows too; the table is written, so a lost task finds the same places
+    items = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts)))
     out, level = full, 0
     while True:
         done = cut(_round(items, parts == 1, limit), f"round{level}")
@@ -195,4 +195,4 @@ def packed(docs: DataFrame, path: str | None = None, limit: int = LENGTH, end: i
 
 
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), special=True)
+    return packed(table(spark, sf_dir, "documents"))
