@@ -5,9 +5,11 @@ slot, and a versioned map gives each slot its shard.  Rebalancing edits the map
 version) and moves whole slots; records are never hashed anew.
 
 Law ``bytes``: shard sizes are near equal, as the map gives slots, largest first, to the
-shard with the fewest bytes.  Edge cases: a null text has size 16 and the CRC of no bytes;
-null ids hash like a value of their own, with the text's checksum spreading them; repeated
-rows share a slot; an empty table gives no rows.
+shard with the fewest bytes.  A key (id and text checksum) that has more rows than a slot
+should is spread over all slots by the rows' places in the written table, so that many rows
+without ids or many equal rows neither break the law nor meet in one task.  Edge cases: a null
+text has size 16 and the CRC of no bytes; null ids hash like a value of their own, with the
+text's checksum spreading them; a few equal rows share a slot; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table
+from .common import cut, shared_folder, table
 
 SLOTS = 4096
 OVERHEAD = 16
@@ -38,6 +40,22 @@ def loads(records: DataFrame) -> list[tuple[int, int, int]]:
     return sorted(tuple(r) for r in records.groupBy("virtual_slot").agg(F.sum("size"), F.count("*")).collect())
 
 
+def without_hot_keys(records: DataFrame, slot_loads: list[tuple[int, int, int]], slots: int = SLOTS, factor: int = 3, least: int = 16) -> DataFrame:
+    """``records``, a written table, with the rows of keys that have over ``least`` and ``factor`` mean slots' rows dealt to all slots.
+
+    Only rows of overfull slots are counted by key, before a shuffle; there are less than
+    ``slots`` / ``factor`` such keys."""
+    limit = least + factor * sum(n for _, _, n in slot_loads) // slots
+    full = [s for s, _, n in slot_loads if n > limit]
+    if not full:
+        return records
+    hot = records.where(F.col("virtual_slot").isin(full)).groupBy("doc_id", "text_crc32").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    hot = F.broadcast(hot.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.lit(True).alias("_hot")))
+    place = F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(slots)).cast("int")
+    met = records.withColumn("_place", place).join(hot, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_crc32") == F.col("_crc")), "left")
+    return met.withColumn("virtual_slot", F.when(F.col("_hot"), F.col("_place")).otherwise(F.col("virtual_slot"))).select(*records.columns)
+
+
 def spread(slot_loads: list[tuple[int, int, int]], shards: int, slots: int = SLOTS) -> list[int]:
     """A first map: slots by falling bytes, each to the shard with the fewest bytes."""
     out = [s % shards for s in range(slots)]  # slots without records yet
@@ -128,8 +146,12 @@ def placed(records: DataFrame, shard_map: DataFrame, slot_loads: list[tuple[int,
 
 
 def op9_slot_shards(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
-    records = sized(table(spark, sf_dir, "documents"))
+    records = cut(sized(table(spark, sf_dir, "documents")), "records")
     held = loads(records)
+    even = without_hot_keys(records, held)
+    if even is not records:
+        records = cut(even, "records")
+        held = loads(records)
     store = SlotMap(spark, f"{shared_folder(spark)}/quarrystone/slot-map-{uuid.uuid4().hex}")
     store.write(spread(held, shards), 1)
     return placed(records, store.frame(1), held, store.read(1)).select(

@@ -158,3 +158,17 @@ def test_nulls_in_metadata():
     from quarrystone.llm import cotraining
 
     assert cotraining.metadata_view([None, "en"], [None, "s"], [None, 5], [None, "a b."]).shape[0] == 2 and np.isfinite(cotraining.metadata_view([None], [None], [None], [None])).all()
+
+
+def test_shards_of_many_equal_rows(spark, tmp_path):
+    """60,000 of 200,000 rows have neither id nor text, 20,000 others are equal: sizes stay near equal and no slot is crowded."""
+    some = spark.range(120_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    rows = some.unionByName(spark.range(60_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS STRING) AS text")).unionByName(spark.range(20_000).selectExpr("7L AS doc_id", "'same' AS text"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op9_slot_shards(spark, str(tmp_path)).selectExpr("shard", "slot", "size", "virtual_slot").toPandas()
+    assert len(got) == 200_000
+    size = got.groupby("shard")["size"].sum()
+    assert len(size) == 40 and size.max() < 1.01 * size.mean() and size.min() > 0.99 * size.mean()
+    assert got.groupby("virtual_slot").size().max() < 250
+    for _, places in got.groupby("shard")["slot"]:
+        assert sorted(places) == list(range(len(places)))
