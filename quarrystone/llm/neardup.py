@@ -9,8 +9,9 @@ still in different components, all its pairs are verified too, block by block, i
 hold two blocks of bounded size.  So no link depends on a cap.
 
 Edge cases: a null or blank text has the empty set, links with nothing and is kept; a text of
-fewer words than a shingle has one shingle; rows that repeat an id count as one document, each
-row getting the id's component; a row with a null id has a null component and is kept.
+fewer words than a shingle has one shingle; rows that repeat an id count as one document, whose
+texts are linked with each other, each row getting the id's component and its own text's number
+of shingles; a row with a null id has a null component and is kept.
 """
 
 from __future__ import annotations
@@ -215,8 +216,10 @@ def blocks_verified(docs: DataFrame, left: DataFrame, words: int, percent: int)
     """Links (a, b) between different parts of a bucket, from all pairs of its members' full sets.
 
     ``left``: (bucket, rep, part, members).  A large bucket is cut into blocks of BLOCK_MEMBERS;
-    every two blocks meet in a task of their own, which returns at most a link for each member,
-    so neither rows nor memory grow with the number of pairs."""
+    every two blocks meet in a task of their own, which holds two blocks and returns at most a link
+    for each member.  A bucket of up to BLOCK_MEMBERS sends each text once; one of m members that
+    are still apart sends each m / BLOCK_MEMBERS times, as any exact comparison of all pairs in
+    bounded memory must."""
     n = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("rep", "bucket"), n).cast("int")
     met = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
@@ -255,6 +258,13 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def shared_ids(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, rep) of the ids whose rows have several texts: the class of each, null for the empty set."""
+    several = rows.groupBy("doc_id").agg(*(f(c).alias(n) for n, f, c in (("a", F.min, "d1"), ("b", F.max, "d1"), ("c", F.min, "d2"), ("d", F.max, "d2")))).where("doc_id IS NOT NULL AND (a <> b OR c <> d)")
+    asked = rows.join(several.select("doc_id"), "doc_id").select("doc_id", "d1", "d2", "n").distinct()
+    return asked.join(sets.select("d1", "d2", "rep"), ["d1", "d2"], "left").select("doc_id", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
+
+
 def near_components(docs: DataFrame, words: int, percent: int, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     if not bands or not rows:
@@ -263,23 +273,34 @@ def near_components(docs: DataFrame, words: int, percent: int, bands: int | None
     keyed = seen.where("n > 0 AND doc_id IS NOT NULL")
     # one text of each set goes on; links between ids that share a set come from the class itself
     sets = cut(keyed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "sets")
+    # an id with several texts is a document of several classes: its least one is linked with the others
+    several = cut(shared_ids(seen, sets), "several")
+    repeated = several.where("rep IS NOT NULL")
+    repeated = repeated.join(repeated.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    any_repeated = not several.isEmpty()
     slots = sets.select("rep", F.explode("bands").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).where("members > 1")
     met = cut(slots.join(shared, "bucket").select("bucket", "rep", "leader"), "buckets")
     pairs = cut(met.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     tried = cut(verified(docs, pairs, words, percent), "tried")
-    parts = cut(components(tried.where("linked"), "a", "b"), "parts")
+    links = tried.where("linked").select("a", "b")
+    if any_repeated:
+        links = links.union(repeated)
+    parts = cut(components(links, "a", "b"), "parts")
     # buckets whose members are still apart: their rest is verified block by block
     placed = met.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
     apart = placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("bucket", "members")
     left = cut(placed.join(apart, "bucket").select("bucket", "rep", "part", "members"), "left")
     more = cut(blocks_verified(docs, left, words, percent), "more")
     if not more.isEmpty():
-        links = tried.where("linked").select("a", "b").union(more)
-        parts = cut(components(links, "a", "b"), "parts")
+        parts = cut(components(links.union(more), "a", "b"), "parts")
     classes = sets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 OR component IS NOT NULL").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     found = seen.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    if any_repeated:  # all rows of an id get its component, those without words too
+        of = several.where("rep IS NOT NULL").join(parts.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("_least"))
+        found = found.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_least", "component_id").alias("component_id"))
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -49,7 +49,6 @@ def test_pieces_on_a_table(spark, texts):
 
 def check_packing(got, texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by_doc, by_seq = {}, {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -81,6 +80,15 @@ def test_packing(spark, texts, monkeypatch):
     assert len(packing.packed(brute.documents(spark, [(1, "a"), (1, "a"), (None, None)])).collect()) == 3
 
 
+def test_packing_of_many_equal_rows(spark):
+    """Rows without id and text are dealt evenly over the partitions of the first round."""
+    rows = brute.documents(spark, [(None, None)] * 20_000 + [(i, f"text {i}") for i in range(2000)])
+    got = packing.packed(rows)
+    assert got.count() == 22_000
+    first = got.where("sequence_id >= 0 AND sequence_id < (1L << 56)").selectExpr("(sequence_id >> 16) AS part").groupBy("part").count().collect()
+    assert len(first) > 15 and max(r["count"] for r in first) < 1.3 * packing.PARTITION
+
+
 def test_packing_of_special_tokens(spark, tmp_path):
     """The registered query and the pipeline encode as the library does by default."""
     texts = ["<|endoftext|> x", "a<|endoftext|><|endoftext|>\n\n b", "<|endoftext|", "<|endoftext|>" * 1500, "x"]
@@ -138,6 +146,26 @@ def test_near_duplicates_of_odd_tables(spark):
     assert run([(4, "a b c"), (4, "a b c"), (9, "A b  c"), (2, " ")]) == [(True, 2, 2, True), (True, 4, 4, True), (True, 4, 4, True), (True, 9, 4, False)]
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rng = random.Random(41)
+    a, b, c, d = (" ".join(f"q{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    run = lambda rows: sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(brute.documents(spark, rows), 3, 85).collect())
+    assert run([(1, a), (5, a), (5, b), (9, b), (7, c)]) == [(1, 1, True), (5, 1, False), (5, 1, False), (7, 7, True), (9, 1, False)]
+    # through a near copy, a text without words, and equal rows
+    near = " ".join([*b.split(" ")[:-1], "changed"])
+    rows = [(9, a), (8, a), (8, b), (8, b), (8, " "), (4, near), (3, None), (3, d), (6, d), (2, c)]
+    assert run(rows) == sorted([(9, 4, False), (8, 4, False), (8, 4, False), (8, 4, False), (8, 4, False), (4, 4, True), (3, 3, True), (3, 3, True), (6, 3, False), (2, 2, True)])
+    texts: dict[int, list[str]] = {}
+    rows = [(rng.randrange(30), rng.choice((a, b, c, d, near)) if rng.random() < 0.3 else " ".join(f"q{rng.randrange(10**6)}" for _ in range(20))) for _ in range(60)]
+    for i, t in rows:
+        texts.setdefault(i, []).append(t)
+    flat = {(i, k): t for i, v in texts.items() for k, t in enumerate(v)}
+    sets = {x: brute.shingles(t, 3) for x, t in flat.items()}
+    links = [(x[0], y[0]) for x in flat for y in flat if x < y and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y])]
+    want = brute.components(texts, links)
+    assert run(rows) == sorted((i, want[i], want[i] == i) for i, _ in rows)
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
@@ -345,6 +373,19 @@ def test_urls(spark, tmp_path, monkeypatch):
     assert order(tuple(r[c] for c in want.columns) for r in again.collect()) == rows
 
 
+def test_urls_of_odd_tables(spark, monkeypatch):
+    rules = urls.PLACES + urls.PATTERNS
+    long = "http://example.com/en/7" + "/spam-x" * 50_000
+    rows = [(1, long, 9), (1, long, 9), (None, None, 1), (2, "", 1), (3, "http://" + "a." * 30_000 + "org/es/", 1)]
+    for few in (256, 1):
+        monkeypatch.setattr(urls, "LITERAL_RULES", few)
+        of = lambda rows: spark.createDataFrame(rows, "page_id long, url string, rank int")
+        assert urls.matched(of([]), rules).collect() == []
+        got = sorted((str(r.page_id), r.rule, r.action, len(r.path)) for r in urls.matched(of(rows), rules).collect())
+        path = len(long) - len("http://example.com")
+        assert got == [("1", "example.com/en/7", "allow", path)] * 2 + [("2", None, None, 0), ("3", "org/es/", "block", 4), ("None", None, None, 0)]
+
+
 def test_rarest_token(spark):
     pages = spark.createDataFrame([(u,) for u in ["http://a.com/x", "http://b.com/y", "http://b.com/z"]], "url string")
     r = urls.pattern_rule("block", "r", "b", ("com", "b"))
