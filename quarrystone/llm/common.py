@@ -197,6 +197,16 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ...: names with dots, or that an operator uses itself, then do no harm."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def fields(df: DataFrame) -> str:
+    """The schema of numbered()."""
+    return ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields))
+
+
 def columns(batches: Iterable, *names: str) -> Iterator[tuple]:
     """Python lists of the named columns of Arrow batches."""
     for b in batches:

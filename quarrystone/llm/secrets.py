@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fields, numbered, table
 
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -195,7 +195,9 @@ def scanned(docs: DataFrame, models: Models) -> DataFrame:
 
 
 def redacted(docs: DataFrame, models: Models, by: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced; ``n_chars`` follows where it is there."""
+    """``docs``, its columns as they are, with every span of ``text`` replaced; ``n_chars`` follows where it is there.
+
+    Rows without spans stay as they are, null texts stay null, and an empty table stays empty."""
     names = docs.columns
 
     def clean(text: str | None) -> str | None:
@@ -217,9 +219,9 @@ def redacted(docs: DataFrame, models: Models, by: str = "[SECRET]") -> DataFrame
             cols["text"] = pa.array(new, cols["text"].type)
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([n if x == y else len(y) for n, x, y in zip(cols["n_chars"].to_pylist(), old, new, strict=True)], cols["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=[f"c{i}" for i in range(len(names))])
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered(docs).mapInArrow(run, fields(docs)).toDF(*names)
 
 
 def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
