@@ -2,12 +2,15 @@
 
 One bigram model is trained for each kind of random string (hex, upper case with digits,
 letters with digits, base64), one for ordinary identifiers and words.  A token's score is the
-best log-likelihood ratio of a random kind against the ordinary model, per character; tokens
-over the threshold, which held-out labelled samples set, are spans of kind ``markov`` where
-they touch no span of the fixed patterns.
+best log-likelihood ratio of a random kind against the ordinary model, per character.  Tokens of
+LEAST characters or more over the threshold, which held-out labelled samples set, are spans of
+kind ``markov`` where they touch no span of the fixed patterns; of a token that isn't, its parts
+between separators are tried.  Nothing but the ratio decides: words, numbers and identifiers are
+ordinary because the model has learnt them, words from all documents.
 
 Edge cases: null counts as empty; an empty text has no spans and the digest of the empty
-string; rows are judged each for itself, so repeated rows get equal results.
+string and no best score; rows are judged each for itself, so repeated rows get equal results;
+an empty table gives no rows, and its models know only the generated samples.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a run of [0-9a-f] is whole, so shorter runs are those that fail
 _KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Characters that a token must have to be judged.
+LEAST = 16
+_CANDIDATE, _PART = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"), re.compile(rf"[A-Za-z0-9+]{{{LEAST},}}")
 
 Span = tuple[str, int, int]
 
@@ -100,15 +105,16 @@ def random_strings(n: int, seed: int = 17) -> dict[str, list[str]]:
 
 
 def identifiers(n: int, seed: int = 18) -> list[str]:
-    """Labelled samples of ordinary identifiers, paths and slugs of at least 20 characters."""
+    """Labelled samples of ordinary identifiers, paths, slugs and numbers of at least LEAST characters."""
     rng = random.Random(seed)
     out: list[str] = []
     while len(out) < n:
         w = [rng.choice(_STEMS) for _ in range(rng.randrange(3, 9))]
-        kind = rng.randrange(5)
-        s = ["_".join(w), "-".join(w), "/".join(w), w[0] + "".join(x.title() for x in w[1:]), "_".join(w).upper()][kind]
+        number = ["".join(rng.choice("0123456789") for _ in range(rng.randrange(2, 20))) for _ in range(rng.randrange(1, 5))]
+        kind = rng.randrange(6)
+        s = ["_".join(w), "-".join(w), "/".join(w), w[0] + "".join(x.title() for x in w[1:]), "_".join(w).upper(), "-".join(number)][kind]
         s += rng.choice(["", "", str(rng.randrange(100)), f"_{rng.randrange(1990, 2030)}", "=" * rng.randrange(20)])
-        if len(s) >= 20:
+        if len(s) >= LEAST:
             out.append(s)
     return out
 
@@ -128,19 +134,39 @@ def train(random_samples: dict[str, list[str]], ordinary: list[str], words: Iter
     return got
 
 
-def _plausible(token: str) -> bool:
-    """Digits and letters both, as in generated strings, and not one character over and over."""
-    return len(set(token)) >= 8 and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+def judged(text: str, models: Models) -> tuple[list[Span], float | None]:
+    """Base spans and those that the models add, by start, then kind; and the best score of all tokens judged."""
+    out, best = base_spans(text), None
+    base = list(out)
+    at = 0
+    for m in _CANDIDATE.finditer(text):
+        while at < len(base) and base[at][2] <= m.start():
+            at += 1
+        for tried in ([m], _PART.finditer(text, *m.span())):  # the whole token, else its parts
+            found = False
+            for p in tried:
+                score = models.score(p[0])
+                best = score if best is None else max(best, score)
+                if score > models.threshold and not _touches(base, at, *p.span()):
+                    out.append(("markov", *p.span()))
+                    found = True
+            if found:
+                break
+    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]))), best
+
+
+def _touches(base: list[Span], at: int, a: int, b: int) -> bool:
+    """Whether a span of ``base`` from ``at`` on, by start, meets [a, b)."""
+    while at < len(base) and base[at][1] < b:
+        if a < base[at][2]:
+            return True
+        at += 1
+    return False
 
 
 def spans(text: str, models: Models) -> list[Span]:
     """Base spans and those that the models add, by start, then kind."""
-    out = base_spans(text)
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        if not any(s[1] < b and a < s[2] for s in out) and _plausible(m[0]) and models.score(m[0]) > models.threshold:
-            out.append(("markov", a, b))
-    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
+    return judged(text, models)[0]
 
 
 #: Samples of each random kind, and of identifiers.
@@ -149,7 +175,7 @@ SAMPLES = 2000
 
 def word_bigrams(docs: DataFrame) -> np.ndarray:
     """Bigrams of the distinct plain words of all documents, counted where the words are; at most _N * _N sums reach the driver."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"[A-Za-z]+"), F.lit(0))).alias("w")).where("length(w) <= 40").distinct()
+    words = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"[A-Za-z]+"), F.lit(0))).alias("w")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((_N, _N), np.int64)
@@ -175,7 +201,7 @@ def joined(found: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
-OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long"
+OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long, best_score double"
 
 
 def scanned(docs: DataFrame, models: Models) -> DataFrame:
@@ -183,11 +209,11 @@ def scanned(docs: DataFrame, models: Models) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [spans(t or "", models) for t in b.column(1).to_pylist()]
+            found, best = zip(*(judged(t or "", models) for t in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), ())
             base = [[s for s in x if s[0] != "markov"] for x in found]
             count = lambda k: pa.array([sum(s[0] == k for s in x) for x in found], pa.int64())  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *map(count, KINDS[:3]), pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x in base], pa.string()), pa.array(map(joined, found), pa.string()), count("markov")],
+                [b.column(0), *map(count, KINDS[:3]), pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x in base], pa.string()), pa.array(map(joined, found), pa.string()), count("markov"), pa.array(best, pa.float64())],
                 names=[c.split()[0] for c in OUT.split(", ")],
             )
 
