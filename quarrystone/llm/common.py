@@ -7,12 +7,14 @@ words ``[^\\x20\\x09-\\x0D]+`` of the decoded text.  A null text counts as the e
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are hashed in groups of about this many bytes, so that numpy's work arrays stay in cache.
 GROUP_BYTES = 1 << 18
@@ -33,9 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset (local runs)."""
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset in a local run."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quarrystone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -48,14 +52,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_folder(spark)}/quarrystone/{name}-{uuid.uuid4().hex}"
+    path = temporary(spark, name)
     df.write.parquet(path)
-    _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/quarrystone/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def sweep() -> None:
-    """Removes what cut() wrote; called when the driver ends."""
+    """Removes what was written to temporary(); called when the driver ends."""
     for path, spark in list(_written.items()):
         try:
             jvm = spark.sparkContext._jvm
@@ -69,6 +79,16 @@ def sweep() -> None:
 atexit.register(sweep)
 
 
+def least_hashes(ids: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """The ``most`` rows of ``ids`` with the least hashes of their keys, each key once.
+
+    A hash bound goes before the order, so that its one task gets little more than the rows asked for."""
+    n = ids.count()
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    some = ids.where(place <= int((1 << 30) * min(1.0, (1.2 * most + 1000) / n))) if n > most else ids
+    return some.orderBy(place, key).limit(most)
+
+
 def encode(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fields, numbered, table
+from .common import cut, fields, least_hashes, numbered, table
 from .neardup import BROADCAST_IDS
 from .rules import statistics_of
 
@@ -253,11 +253,7 @@ def fit(found: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: i
     the driver, and all rows without labels, of which only sums do."""
     truth = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
     n = truth.count()
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    # the least hashes; a hash bound before the order keeps all but about 1.2 times the sample out of its one task
-    some = truth.where(place <= int((1 << 30) * min(1.0, 1.2 * labelled / n + 1000 / n))) if n else truth
-    ids = some.orderBy(place, "doc_id").limit(labelled)
-    rows = sorted(found.join(F.broadcast(ids), "doc_id").collect(), key=lambda r: (r["doc_id"], r["a"]))  # at most ``labelled`` ids
+    rows = sorted(found.join(F.broadcast(least_hashes(truth, labelled)), "doc_id").collect(), key=lambda r: (r["doc_id"], r["a"]))  # at most ``labelled`` ids
     meta = Metadata.of([r["lang"] for r in rows], [r["source"] for r in rows])
     a = np.array([r["a"] for r in rows]).reshape(len(rows), text_view([]).shape[1])
     b = meta.view(*([r[k] for r in rows] for k in _META))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, encode, groups, table
+from .common import Words, encode, groups, least_hashes, table
 
 #: name -> constraint on the score: -1 never rises with it, +1 never falls, 0 free
 STATISTICS = {
@@ -199,10 +199,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, ta
     """At most ``rows`` labelled documents (the least hashes of doc_id), as doc_id, text and label y.
 
     A document with several labels takes the highest; null ids and labels don't count."""
-    ids = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("double").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    )
+    ids = least_hashes(labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("double").alias("y")), rows)
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most FIT_ROWS rows of 16 bytes
 
 

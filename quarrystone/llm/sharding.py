@@ -16,12 +16,11 @@ from __future__ import annotations
 
 import heapq
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_folder, table
+from .common import cut, shared_folder, table, temporary
 
 SLOTS = 4096
 OVERHEAD = 16
@@ -152,7 +151,7 @@ def op9_slot_shards(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataF
     if even is not records:
         records = cut(even, "records")
         held = loads(records)
-    store = SlotMap(spark, f"{shared_folder(spark)}/quarrystone/slot-map-{uuid.uuid4().hex}")
+    store = SlotMap(spark, temporary(spark, "slot-map"))
     store.write(spread(held, shards), 1)
     return placed(records, store.frame(1), held, store.read(1)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"

@@ -9,7 +9,9 @@ is a map literal and nothing is shuffled, with many it is a table joined by toke
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, no tokens and no
 rule, and gets the default verdict, allow; a rule without tokens is tried on every URL;
-repeated rows each get the same result; an empty table gives no rows.
+repeated rows each get the same result; an empty table gives no rows; columns of ``pages``
+called host, path, rule, action or rank are replaced.  Rules of alternatives are split, so that
+each has a token; the token "a number" serves rules about raw addresses.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ def pattern_rule(action: str, name: str, pattern: str, tokens: tuple[str, ...],
     return Rule(name, pattern, tokens, action, rank)
 
 
+#: Stands among a URL's tokens for any that is a number.
+NUMBER = "#number"
 #: The rules of fixed places, and the pattern rules of the method: spam hosts, trackers, adult and gambling words, raw addresses.
 PLACES = (
     place_rule("block", "com", "/en/"), place_rule("allow", "example.com", "/en/7"), place_rule("allow", "net", "/de/"),
@@ -52,8 +56,8 @@ PATTERNS = (
     pattern_rule("block", "~link-farm", r"^([^#]*[.-])?farm[.-][^#]*#", ("farm",), 8),
     pattern_rule("block", "~casino", r"(^|[^a-z0-9])casino([^a-z0-9]|$)", ("casino",), 7),
     pattern_rule("block", "~porn", r"(^|[^a-z0-9])porn([^a-z0-9]|$)", ("porn",), 6),
-    pattern_rule("block", "~ad-server", r"^([^#]*\.)?(ads|adserver|doubleclick)\.[^#]*#", (), 5),
-    pattern_rule("block", "~raw-address", r"^[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]+)?#", (), 4),
+    *(pattern_rule("block", "~ad-server", rf"^([^#]*\.)?{host}\.[^#]*#", (host,), 5) for host in ("ads", "adserver", "doubleclick")),
+    pattern_rule("block", "~raw-address", r"^[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]+)?#", (NUMBER,), 4),
 )
 #: With more rules than this the index is joined as a table.
 LITERAL_RULES = 256
@@ -70,7 +74,9 @@ def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
     df = df.withColumn("path", F.regexp_extract("_after", r"(?s)^[^?#]*", 0))
     df = df.withColumn("_seen", F.concat_ws("#", "host", "path", F.expr("substring(_after, length(path) + 1)")))
     low = F.translate("_seen", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return df.withColumn("_tokens", F.array_distinct(F.filter(F.split(low, r"[^a-z0-9]+"), lambda t: t != ""))).drop("_rest", "_after")
+    df = df.withColumn("_tokens", F.array_distinct(F.filter(F.split(low, r"[^a-z0-9]+"), lambda t: t != "")))
+    number = F.when(F.exists("_tokens", lambda t: F.rlike(t, F.lit("^[0-9]+$"))), F.array(F.lit(NUMBER))).otherwise(F.array().cast("array<string>"))
+    return df.withColumn("_tokens", F.concat("_tokens", number)).drop("_rest", "_after")
 
 
 def rarest(parts: DataFrame, rules: tuple[Rule, ...]) -> dict[Rule, str]:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quarrystone.llm import fingerprints, rules, sharding
+from quarrystone.llm import common, fingerprints, rules, sharding
 from tests.llm import brute
 
 
@@ -172,3 +172,11 @@ def test_shards_of_many_equal_rows(spark, tmp_path):
     assert got.groupby("virtual_slot").size().max() < 250
     for _, places in got.groupby("shard")["slot"]:
         assert sorted(places) == list(range(len(places)))
+
+
+def test_least_hashes(spark):
+    ids = spark.range(50_000).selectExpr("id AS doc_id")
+    some = {r.doc_id for r in common.least_hashes(ids, 2000).collect()}
+    place = {r.doc_id: r.h for r in ids.selectExpr("doc_id", "pmod(xxhash64(doc_id), 1 << 30) AS h").collect()}
+    assert some == set(sorted(place, key=lambda i: (place[i], i))[:2000])
+    assert common.least_hashes(ids.limit(0), 5).count() == 0 and common.least_hashes(ids.limit(3), 5).count() == 3
