@@ -106,23 +106,44 @@ def cuts(data: bytes, p: Params, form: Format = DEFAULT) -> list[int]:
     return out
 
 
+#: Chunks are hashed together up to about this many bytes, whatever contents they are of.
+HASHED = 4 << 20
+
+
 def split(contents: DataFrame, params: Params = ASSETS, algorithm: str = "blake3", form: Format = DEFAULT, keep: bool = True) -> DataFrame:
     """Chunks of each (file_id, data): seq, offset, length, id and, with ``keep``, the bytes; one pass, no shuffle.
 
     Null content counts as empty, which has no chunks."""
     schema = "file_id string, seq int, offset long, length long, chunk_id string" + ", data binary" * keep
 
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        parts: list[bytes] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            cols = [*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), pa.array(content_ids("chunk", parts, algorithm, form), pa.string())]
+            out = pa.RecordBatch.from_arrays([*cols, *([pa.array(parts, pa.binary())] if keep else [])], names=names)
+            rows.clear()
+            parts.clear()
+            return out
+
         for b in batches:
             for f, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = data.as_py() or b""
-                ends = cuts(data, params, form)
-                starts = [0, *ends][: len(ends)]
-                for k in range(0, len(ends), 256):
-                    s, e = starts[k : k + 256], ends[k : k + 256]
-                    parts = [data[i:j] for i, j in zip(s, e, strict=True)]
-                    cols = [pa.array([f] * len(s), pa.string()), pa.array(range(k, k + len(s)), pa.int32()), pa.array(s, pa.int64()), pa.array([j - i for i, j in zip(s, e, strict=True)], pa.int64()), pa.array(content_ids("chunk", parts, algorithm, form), pa.string())]
-                    yield pa.RecordBatch.from_arrays([*cols, *([pa.array(parts, pa.binary())] if keep else [])], names=["file_id", "seq", "offset", "length", "chunk_id", *(["data"] if keep else [])])
+                begin = 0
+                for seq, end in enumerate(cuts(data, params, form)):
+                    rows.append((f, seq, begin, end - begin))
+                    parts.append(data[begin:end])
+                    size, begin = size + end - begin, end
+                    if size > HASHED:
+                        yield flush()
+                        size = 0
+        if rows:
+            yield flush()
 
     return contents.select("file_id", "data").mapInArrow(run, schema)
 
@@ -133,12 +154,12 @@ def build_files(contents: DataFrame, params: Params = ASSETS, algorithm: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = data.as_py() or b""
-                ends = cuts(data, params, form)
-                parts = [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
-                out.append({"path": path, "file_id": content_ids("file", [data], algorithm, form)[0], "size": len(data), "chunks": [{"chunk_id": c, "length": len(x)} for c, x in zip(content_ids("chunk", parts, algorithm, form), parts, strict=True)]})
+            whole = [x.as_py() or b"" for x in b.column(1)]
+            ends = [cuts(x, params, form) for x in whole]
+            parts = [x[i:j] for x, e in zip(whole, ends, strict=True) for i, j in zip([0, *e], e, strict=False)]
+            chunk = iter(zip(content_ids("chunk", parts, algorithm, form), map(len, parts), strict=True))
+            ids = content_ids("file", whole, algorithm, form)
+            out = [{"path": p, "file_id": f, "size": len(x), "chunks": [{"chunk_id": c, "length": n} for c, n in (next(chunk) for _ in e)]} for p, f, x, e in zip(b.column(0).to_pylist(), ids, whole, ends, strict=True)]
             kind = pa.schema([("path", pa.string()), ("file_id", pa.string()), ("size", pa.int64()), ("chunks", pa.list_(pa.struct([("chunk_id", pa.string()), ("length", pa.int64())])))])
             yield pa.RecordBatch.from_pylist(out, kind)
 
