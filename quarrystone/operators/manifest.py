@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.errors import CaseCollision, InvalidPath
 from quarrystone.functions import paths
+from quarrystone.scratch import written
 
 from .ranking import HOT, ranked
 
@@ -14,7 +15,22 @@ from .ranking import HOT, ranked
 def build(entries: DataFrame, check: bool = True) -> DataFrame:
     """Entries normalised to NFC; with ``check``, invalid, repeated and colliding paths are errors.
 
-    The three checks are one aggregate each and bring at most one row to the driver."""
+    ASCII paths are checked by one aggregate over their folded forms, without Python; where some
+    path isn't ASCII, each check is an aggregate of its own.  One row at most reaches the driver."""
+    entries = entries.select("path", "file_id", "size")
+    if check:
+        path = F.col("path")
+        odd = F.coalesce(~path.rlike(r"^[\x00-\x7f]*$"), F.lit(False))
+        group = entries.groupBy(paths.fold(path, ascii_only=True).alias("fold")).agg(F.count("*").alias("n"), F.min("path").alias("a"), F.max("path").alias("b"), F.max(odd).alias("odd"), F.min(F.when(paths.problem(path).isNotNull(), F.struct(F.coalesce("path", F.lit("")).alias("path"), paths.problem(path).alias("why")))).alias("bad"))
+        seen = group.agg(F.max("odd").alias("odd"), F.min("bad").alias("bad"), F.min(F.when((F.col("n") > 1) & (F.col("a") == F.col("b")), F.col("a"))).alias("twice"), F.min(F.when(F.col("a") != F.col("b"), F.struct("a", "b"))).alias("clash")).first()
+        if not seen["odd"]:
+            if seen["bad"]:
+                raise InvalidPath(f"{seen['bad']['path']!r}: {seen['bad']['why']}")
+            if seen["twice"] is not None:
+                raise CaseCollision(f"{seen['twice']!r} is there twice")
+            if seen["clash"]:
+                raise CaseCollision(f"{seen['clash']['a']!r} and {seen['clash']['b']!r}")
+            return entries
     out = entries.select(paths.nfc("path").alias("path"), "file_id", "size")
     if check:
         bad = out.withColumn("why", paths.problem(F.col("path"))).where("why IS NOT NULL").limit(1).collect()
@@ -47,13 +63,17 @@ _CHANGE = ("kind", "path_before", "path_after", "file_before", "file_after", "si
 def diff(before: DataFrame, after: DataFrame, hot: int = HOT) -> DataFrame:
     """Changes from one manifest to another: added, removed, changed (by file, size ignored), renamed.
 
-    A file that is still at its old path and new at another is added there."""
-    both = sides(before, after).where("file_before IS DISTINCT FROM file_after")
+    A file that is still at its old path and new at another is added there.  Where the sides differ is
+    written once, for the count of hot files and the three kinds of rows."""
+    both = written(sides(before, after).where("file_before IS DISTINCT FROM file_after"), "differences")
+    count = both.where("file_before IS NULL OR file_after IS NULL").groupBy(F.coalesce("file_before", "file_after").alias("file_id"), F.col("file_after").isNull().alias("removed")).count()
+    heavy = {(r["removed"], r["file_id"]): r["count"] for r in count.where(F.col("count") > hot).collect()}
+    of = lambda side: {k: n for (s, k), n in heavy.items() if s == side}
     changed = both.where("file_before IS NOT NULL AND file_after IS NOT NULL").select(F.lit("changed").alias("kind"), F.col("path").alias("path_before"), F.col("path").alias("path_after"), *_CHANGE[3:])
     removed = both.where("file_after IS NULL").select("path", F.col("file_before").alias("file_id"), F.col("size_before").alias("size"))
     added = both.where("file_before IS NULL").select("path", F.col("file_after").alias("file_id"), F.col("size_after").alias("size"))
-    r = ranked(removed.withColumnsRenamed({"path": "path_before", "size": "size_before"}), "file_id", "path_before", "k", hot)
-    a = ranked(added.withColumnsRenamed({"path": "path_after", "size": "size_after"}), "file_id", "path_after", "k", hot)
+    r = ranked(removed.withColumnsRenamed({"path": "path_before", "size": "size_before"}), "file_id", "path_before", "k", hot, heavy=of(True))
+    a = ranked(added.withColumnsRenamed({"path": "path_after", "size": "size_after"}), "file_id", "path_after", "k", hot, heavy=of(False))
     moved = r.join(a, ["file_id", "k"], "full_outer").select(
         F.when(F.col("path_before").isNull(), "added").when(F.col("path_after").isNull(), "removed").otherwise("renamed").alias("kind"),
         "path_before", "path_after",

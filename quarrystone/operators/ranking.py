@@ -11,15 +11,16 @@ HOT = 1_000_000
 PIECE, PIECES = 200_000, 1_000
 
 
-def ranked(df: DataFrame, key: str, order: str, name: str, hot: int = HOT, piece: int = PIECE) -> DataFrame:
+def ranked(df: DataFrame, key: str, order: str, name: str, hot: int = HOT, piece: int = PIECE, heavy: dict | None = None) -> DataFrame:
     """Adds ``name``: the row's number (from 1) in ``key`` by the string column ``order``.
 
     Rows that tie get different numbers in any order.  Keys over ``hot`` rows (there are at most
-    rows/hot of them) are split at sampled values of ``order``: a piece's rows are ranked in a
+    rows/hot of them, ``heavy`` where the caller has counted them) are split at sampled values of ``order``: a piece's rows are ranked in a
     window of their own, and the rows of the earlier pieces are added.  The result does not
     depend on the sample.
     """
-    heavy = {r[key]: r["count"] for r in df.groupBy(key).count().where(F.col("count") > hot).collect()}
+    if heavy is None:
+        heavy = {r[key]: r["count"] for r in df.groupBy(key).count().where(F.col("count") > hot).collect()}
     if not heavy:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
     cuts = {}

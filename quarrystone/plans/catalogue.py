@@ -199,15 +199,15 @@ def version_closure(spark, d):
 
 @_query(
     """WITH v AS (SELECT DISTINCT sha256(CAST(o_orderkey AS VARCHAR)) AS id FROM orders),
-    p AS (SELECT DISTINCT substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, CAST(6 + o_orderkey % 8 AS INTEGER)) AS prefix FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT DISTINCT substr(sha256('x' || o_orderkey), 1, 10) FROM orders WHERE o_orderkey % 31 = 0),
-    h AS (SELECT prefix, count(*) AS n, min(id) AS id FROM p JOIN v ON starts_with(v.id, p.prefix) WHERE length(prefix) >= 8 GROUP BY prefix)
+    p AS (SELECT DISTINCT substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, CAST(6 + o_orderkey % 8 AS INTEGER)) AS prefix FROM orders UNION SELECT DISTINCT substr(sha256('x' || o_orderkey), 1, 10) FROM orders),
+    h AS (SELECT prefix, count(*) AS n, min(id) AS id FROM p JOIN v ON substr(v.id, 1, 8) = substr(p.prefix, 1, 8) AND starts_with(v.id, p.prefix) WHERE length(prefix) >= 8 GROUP BY prefix)
     SELECT prefix, COALESCE(n, 0) AS matches, CASE WHEN n = 1 THEN h.id END AS id FROM p LEFT JOIN h USING (prefix)"""
 )
 def resolve_prefix(spark, d):
     o = rel.table(spark, d, "orders")
     hexed = F.sha2(F.col("o_orderkey").cast("string"), 256)
-    known = o.where("o_orderkey % 7 = 0").select(F.substring(hexed, F.lit(1), (F.lit(6) + F.col("o_orderkey") % 8).cast("int")).alias("prefix"))
-    odd = o.where("o_orderkey % 31 = 0").select(F.substring(F.sha2(F.concat(F.lit("x"), F.col("o_orderkey").cast("string")), 256), 1, 10).alias("prefix"))
+    known = o.select(F.substring(hexed, F.lit(1), (F.lit(6) + F.col("o_orderkey") % 8).cast("int")).alias("prefix"))
+    odd = o.select(F.substring(F.sha2(F.concat(F.lit("x"), F.col("o_orderkey").cast("string")), 256), 1, 10).alias("prefix"))
     return history.prefix_matches(known.union(odd), o.select(hexed.alias("id")))
 
 
@@ -224,7 +224,7 @@ def impact_closure(spark, d):
 
 
 def _reach(spark, d):
-    live = history.chain_closure(rel.versions(spark, d), rel.roots(spark, d)).select(F.col("node").alias("file_id")).distinct()
+    live = history.reach(rel.roots(spark, d), rel.versions(spark, d), source="node", target="parent").select(F.col("node").alias("file_id"))
     return live, rel.file_chunks(spark, d).join(live, "file_id", "left_semi").select("chunk_id").distinct()
 
 

@@ -8,7 +8,7 @@ import pytest
 from quarrystone import schemas
 from quarrystone.errors import CaseCollision, InvalidIgnore, InvalidPath, InvalidRefName, RefNotFound
 from quarrystone.functions import ignore, paths, text
-from quarrystone.operators import history, locks, manifest, ranking, storage
+from quarrystone.operators import codec, history, locks, manifest, ranking, storage
 
 
 def table(spark, rows, schema=schemas.MANIFEST):
@@ -242,5 +242,26 @@ def test_verify_and_scrub(spark):
     fc = table(spark, [(whole, 0, "p", 0, 6), (whole, 1, "q", 6, 5), (other, 0, "q", 0, 5), ("x", 0, "gone", 0, 3), ("y", 0, "p", 0, 9)], schemas.FILE_CHUNKS)
     assert {r.file_id: bytes(r.data) for r in storage.reassembled(fc, chunks).collect()}[whole] == b"hello world"
     assert {r.file_id: r.reason for r in storage.scrub(fc, chunks).collect()} == {other: "content", "x": "missing chunk", "y": "size"}
-    objects = table(spark, [("chunk", content_id("chunk", b"a"), bytearray(b"a")), ("version", content_id("chunk", b"a"), bytearray(b"a")), ("file", whole, bytearray(b"text"))], "kind string, digest string, data binary")
-    assert [r.kind for r in storage.verify(objects).collect()] == ["version"]
+    objects = table(spark, [("chunk", content_id("chunk", b"a"), bytearray(b"a")), ("version", content_id("chunk", b"a"), bytearray(b"a")), ("file", other, bytearray(b"text"))], "kind string, digest string, data binary")
+    listed = bytearray(codec.encode(codec.File(11, (("a" * 64, 6), ("b" * 64, 5)))))
+    good = table(spark, [("file", whole, listed), ("manifest", whole, listed), ("chunk", content_id("chunk", b""), bytearray())], "kind string, digest string, data binary")
+    assert {(r.kind, r.digest) for r in storage.verify(objects.union(good)).collect()} == {("version", content_id("chunk", b"a")), ("file", other)}
+
+
+def test_reach_of_any_graph(spark):
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(0, 100)]
+    rings = [(200, 201), (201, 202), (202, 200), (202, 210)]
+    bush = [(300 + i, 300 + rng.randrange(i + 1, i + 40)) for i in range(60) for _ in range(2)]
+    edges = chain + rings + bush
+    df = spark.createDataFrame([*edges, (900, None)], "node long, parent long")
+    for roots in ([0], [50, 201], [300, 7, 900], [12345], []):
+        seen, todo = set(roots), list(roots)
+        while todo:
+            n = todo.pop()
+            for a, b in edges:
+                if a == n and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        got = [r.node for r in history.reach(spark.createDataFrame([(r,) for r in roots], "node long"), df, source="node", target="parent").collect()]
+        assert sorted(got) == sorted(seen)
