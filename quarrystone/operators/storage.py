@@ -3,14 +3,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.errors import EngineError
 from quarrystone.functions.ids import DEFAULT, Format, content_id_column
 
-from .history import closure, parent_edges
+from .history import known
 
 
 def exists(keys: DataFrame, objects: DataFrame, on: list[str]) -> DataFrame:
@@ -25,9 +28,10 @@ def missing(new: DataFrame, objects: DataFrame, on: tuple[str, ...] = ("kind", "
 
 
 def verify(objects: DataFrame, algorithm: str = "blake3", form: Format = DEFAULT) -> DataFrame:
-    """I8: objects whose bytes don't have their digest, in the domain of their kind.
+    """I8: objects whose bytes don't have their digest, in the domain of their kind; ``found`` is what they have.
 
-    A file's identity is that of its content, so file objects are checked by scrub()."""
+    The identity of files and manifests is that of their content, while their objects list its
+    chunks, so these are parsed (``found`` says what is wrong) and their contents left to scrub()."""
     from quarrystone.functions.ids import KINDS
 
     if algorithm == "sha256":
@@ -36,7 +40,26 @@ def verify(objects: DataFrame, algorithm: str = "blake3", form: Format = DEFAULT
         found = F.lit(None).cast("string")
         for k in KINDS:
             found = F.when(F.col("kind") == k, content_id_column(k, F.when(F.col("kind") == k, F.col("data")), algorithm, form)).otherwise(found)
-    return objects.withColumn("found", found).where((F.col("kind") != "file") & (F.col("found") != F.col("digest"))).select("kind", "digest", "found")
+    of_bytes = objects.where(~F.col("kind").isin("file", "manifest")).withColumn("found", found).where("found <> digest")
+    return of_bytes.select("kind", "digest", "found").union(listing_faults(objects, form))
+
+
+def listing_faults(objects: DataFrame, form: Format = DEFAULT) -> DataFrame:
+    """File and manifest objects that aren't canonical lists of chunks; one pass, no shuffle."""
+    from .codec import decode
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for kind, digest, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                try:
+                    decode("file", data or b"", form)
+                except EngineError as e:
+                    out.append((kind, digest, f"{type(e).__name__}: {e}"))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["kind", "digest", "found"])
+
+    return objects.where(F.col("kind").isin("file", "manifest")).select("kind", "digest", "data").mapInArrow(run, "kind string, digest string, found string")
 
 
 def offsets(file_chunks: DataFrame) -> DataFrame:
@@ -54,8 +77,7 @@ def file_faults(files: DataFrame, file_chunks: DataFrame) -> DataFrame:
 
 
 def reachable_versions(versions: DataFrame, refs: DataFrame, scopes: tuple[str, ...] = ("local", "remote")) -> DataFrame:
-    roots = refs.where(F.col("scope").isin(*scopes)).select(F.col("version_id").alias("node"))
-    return closure(roots, parent_edges(versions)).select(F.col("node").alias("version_id"))
+    return known(versions, refs, scopes)
 
 
 def reachable_objects(versions: DataFrame, refs: DataFrame, entries: DataFrame, file_chunks: DataFrame, manifest_chunks: DataFrame | None = None, signatures: DataFrame | None = None, scopes: tuple[str, ...] = ("local", "remote")) -> DataFrame:

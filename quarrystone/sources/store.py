@@ -10,25 +10,28 @@ from __future__ import annotations
 
 import contextlib
 import datetime as dt
+import fcntl
 import json
 import os
 import re
 import tempfile
 import time
-import uuid
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote, unquote, urlparse
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone import schemas
-from quarrystone.errors import InvalidStore, LockHeld, LockNotFound, ObjectNotFound, RefConflict, RefNotFound
+from quarrystone.errors import CorruptObject, EngineError, InvalidStore, LockHeld, LockNotFound, MalformedId, ObjectNotFound, RefConflict, RefNotFound
+from quarrystone.functions.ids import DEFAULT, Format, content_id
 from quarrystone.functions.text import check_ref_name
+from quarrystone.operators import codec
 from quarrystone.operators.locks import effective_expiry
 
 MARK = "quarrystone-store"
 _OBJECTS = schemas.OBJECTS
+_STORED = "digest string, size long, modified timestamp, data binary, kind string, prefix string"
 
 
 def _atomic(path: str, text: str) -> None:
@@ -42,43 +45,39 @@ def _atomic(path: str, text: str) -> None:
 
 
 @contextlib.contextmanager
-def _exclusive(path: str, attempts: int = 200, stale: float = 30.0) -> Iterator[None]:
-    """One holder of ``path`` among processes; a holder that died is taken over after ``stale`` seconds."""
+def _exclusive(path: str, attempts: int = 200) -> Iterator[None]:
+    """One holder of ``path`` among processes; the system frees it when its holder dies, and the file stays."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    for n in range(attempts):
-        try:
-            os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-            break
-        except FileExistsError:
-            with contextlib.suppress(OSError):
-                if time.time() - os.stat(path).st_mtime > stale:
-                    os.unlink(path)
-                    continue
-            time.sleep(min(0.1, 0.01 * (n + 1)))
-    else:
-        raise RefConflict(f"{path} stays locked")
+    held = os.open(path, os.O_CREAT | os.O_RDWR)
     try:
+        for n in range(attempts):
+            try:
+                fcntl.flock(held, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                break
+            except BlockingIOError:
+                time.sleep(min(0.1, 0.01 * (n + 1)))
+        else:
+            raise RefConflict(f"{path} stays locked")
         yield
     finally:
-        with contextlib.suppress(FileNotFoundError):
-            os.unlink(path)
+        os.close(held)
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, form: Format = DEFAULT):
         if not os.path.isfile(os.path.join(path, MARK)):
             raise InvalidStore(f"{path} holds no store")
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.form = spark, path, form
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str) -> Store:
+    def create(cls, spark: SparkSession, path: str, form: Format = DEFAULT) -> Store:
         """A store in a new or empty folder, or the one that is there."""
         os.makedirs(path, exist_ok=True)
         if not os.path.exists(os.path.join(path, MARK)):
             if os.listdir(path):
                 raise InvalidStore(f"{path} isn't empty")
             _atomic(os.path.join(path, MARK), "1\n")
-        return cls(spark, path)
+        return cls(spark, path, form)
 
     # objects
 
@@ -91,7 +90,7 @@ class Store:
         if not os.path.isdir(root):
             df = self.spark.createDataFrame([], _OBJECTS)
         else:
-            df = self.spark.read.schema("digest string, size long, modified timestamp, data binary, kind string, prefix string").parquet(root).select("kind", "digest", "size", "modified", "data", "prefix")
+            df = self.spark.read.schema(_STORED).parquet(root).select("kind", "digest", "size", "modified", "data", "prefix")
         return df if data else df.drop("data")
 
     def put(self, new: DataFrame, now: dt.datetime) -> int:
@@ -104,32 +103,41 @@ class Store:
         return seen.get["n"]
 
     def get(self, kind: str, digest: str) -> bytes:
-        """A5."""
+        """A5: the bytes of an object, which are checked: by their digest, or, for lists of chunks, by their form."""
         got = self.objects(data=True).where((F.col("kind") == kind) & (F.col("prefix") == digest[:2]) & (F.col("digest") == digest)).select("data").limit(1).collect()
         if not got:
             raise ObjectNotFound(f"{kind} {digest}")
-        return bytes(got[0][0])
+        data = bytes(got[0][0])
+        if kind in ("file", "manifest"):
+            try:
+                codec.decode("file", data, self.form)
+            except EngineError as e:
+                raise CorruptObject(f"{kind} {digest}: {e}") from e
+        elif content_id(kind, data, form=self.form) != digest:
+            raise CorruptObject(f"{kind} {digest}")
+        return data
 
     def delete(self, doomed: DataFrame) -> None:
-        """Rewrites the folders that hold doomed keys and swaps them in; idempotent."""
-        touched = [(r["kind"], r["prefix"]) for r in doomed.select("kind", F.substring("digest", 1, 2).alias("prefix")).distinct().collect()]  # at most 6 * 256
-        if not touched:
+        """Writes what stays of the files that hold doomed keys anew, then removes those files; idempotent.
+
+        Files that a put adds meanwhile aren't touched, and nothing that stays is ever away; after
+        a crash it may be there twice."""
+        keys = doomed.select("kind", "digest").distinct()
+        touched = [f"{r['kind']}/{r['prefix']}" for r in keys.select("kind", F.substring("digest", 1, 2).alias("prefix")).distinct().collect()]  # at most 6 * 256
+        if not touched or not os.path.isdir(self._at("objects")):
+            return
+        here = self.objects(data=True).where(F.concat_ws("/", "kind", "prefix").isin(*touched))
+        files = [r[0] for r in here.select("kind", "digest", F.input_file_name().alias("f")).join(keys, ["kind", "digest"], "left_semi").select("f").distinct().collect()]
+        if not files:
             return
-        fresh = self._at(f"rewrite-{uuid.uuid4().hex}")
-        keys = F.concat_ws("/", "kind", F.substring("digest", 1, 2))
-        stay = self.objects(data=True).where(keys.isin(*(f"{k}/{p}" for k, p in touched))).join(doomed.select("kind", "digest").distinct(), ["kind", "digest"], "left_anti")
-        stay.select("digest", "size", "modified", "data", "kind", "prefix").write.partitionBy("kind", "prefix").parquet(fresh)
-        import shutil
-
-        for k, p in touched:
-            old, new = self._at("objects", f"kind={k}", f"prefix={p}"), os.path.join(fresh, f"kind={k}", f"prefix={p}")
-            aside = self._at(f"old-{uuid.uuid4().hex}")
-            if os.path.isdir(old):
-                os.rename(old, aside)
-            if os.path.isdir(new):
-                os.rename(new, old)
-            shutil.rmtree(aside, ignore_errors=True)
-        shutil.rmtree(fresh, ignore_errors=True)
+        old = self.spark.read.schema(_STORED).option("basePath", self._at("objects")).parquet(*files)
+        stay = old.join(keys, ["kind", "digest"], "left_anti").dropDuplicates(["kind", "digest"])
+        stay.select("digest", "size", "modified", "data", "kind", "prefix").write.mode("append").partitionBy("kind", "prefix").parquet(self._at("objects"))
+        for f in files:
+            path = unquote(urlparse(f).path)
+            for x in (path, os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc")):
+                with contextlib.suppress(FileNotFoundError):
+                    os.unlink(x)
 
     # refs
 
@@ -145,6 +153,8 @@ class Store:
 
     def swap_ref(self, scope: str, name: str, old: str | None, new: str) -> None:
         """Sets a ref if it is what the caller saw last; of several writers exactly one wins."""
+        if not new.strip("0"):
+            raise MalformedId("a ref to no version")
         path = self._ref(scope, name)
         with _exclusive(self._at("lockfiles", f"{scope}-{quote(name, safe='')}")):
             now = None

@@ -80,7 +80,7 @@ class Space:
         config = self._load("config", None)
         if config is None:
             raise NotASpace(root)
-        self.store, self.author, self.budget = Store(spark, config["store"]), config["author"], config["budget"]
+        self.store, self.author, self.budget = Store(spark, config["store"], form), config["author"], config["budget"]
 
     # J1
 

@@ -5,7 +5,7 @@ import threading
 
 import pytest
 
-from quarrystone.errors import Dirty, EngineError, InvalidStore, LockHeld, LockingDisabled, NotASpace, RefConflict, RefNotFound, SpaceBehind, UnsafePath, Usage
+from quarrystone.errors import CorruptObject, Dirty, EngineError, InvalidStore, LockHeld, LockingDisabled, MalformedId, NotASpace, RefConflict, RefNotFound, SpaceBehind, UnsafePath, Usage
 from quarrystone.operators.chunking import Params
 from quarrystone.sources import worktree
 from quarrystone.sources.store import Store, key_of_path, key_path
@@ -67,7 +67,7 @@ def test_refs_and_locks(spark, tmp_path):
 
     def race(i):
         try:
-            s.swap_ref("local", "main", None, f"{i:064x}")
+            s.swap_ref("local", "main", None, f"{i + 1:064x}")
             won.append(i)
         except RefConflict:
             pass
@@ -77,7 +77,7 @@ def test_refs_and_locks(spark, tmp_path):
         t.start()
     for t in threads:
         t.join()
-    assert len(won) == 1 and s.ref("local", "main") == f"{won[0]:064x}"
+    assert len(won) == 1 and s.ref("local", "main") == f"{won[0] + 1:064x}"
     with pytest.raises(RefConflict):
         s.swap_ref("local", "main", None, "a" * 64)
     s.swap_ref("remote", "a/ref-x", None, "b" * 64)
@@ -197,3 +197,45 @@ def test_two_spaces(spark, tmp_path):
     assert bob.unlock("*") == ["x"] and bob.locks().count() == 0
     with pytest.raises(EngineError):
         bob.lock("nothing*", at(6))
+
+
+def test_reads_and_checks_of_a_store(spark, tmp_path):
+    """A clean store passes, all kinds in it; a changed object doesn't, whether it is read or checked."""
+    from quarrystone.operators import storage
+
+    root = str(tmp_path / "w")
+    write(root, {f"f{i}": random.Random(i).randbytes(3000) for i in range(12)})
+    s = Space.init(spark, root, str(tmp_path / "store"), params=SMALL)
+    v = s.commit("x", at(0)).version
+    assert {r.kind for r in s.store.objects().select("kind").distinct().collect()} == {"chunk", "file", "manifest", "version"}
+    assert storage.verify(s.store.objects(data=True)).collect() == []
+    chunk = s.store.objects().where("kind = 'chunk'").first().digest
+    assert len(s.store.get("chunk", chunk)) > 0 and s.store.get("version", v).startswith(b"quarrystone-version")
+    for kind, digest in (("version", "ab" * 32), ("chunk", "ac" * 32), ("file", "ad" * 32), ("manifest", "ae" * 32)):
+        s.store.put(spark.createDataFrame([(kind, digest, bytearray(b"tampered"))], "kind string, digest string, data binary"), at(0))
+        with pytest.raises(CorruptObject):
+            s.store.get(kind, digest)
+    assert {r.kind for r in storage.verify(s.store.objects(data=True)).collect()} == {"version", "chunk", "file", "manifest"}
+    for zero in ("0" * 64, ""):
+        with pytest.raises(MalformedId):
+            s.store.swap_ref("local", "odd", None, zero)
+
+
+def test_a_put_during_a_delete_stays(spark, tmp_path, monkeypatch):
+    store = Store.create(spark, str(tmp_path / "s"))
+    rows = [("chunk", f"{i % 2:02x}" + f"{i:062x}", bytearray(b"%d" % i)) for i in range(20)]
+    frame = lambda some: spark.createDataFrame(some, "kind string, digest string, data binary")
+    store.put(frame(rows[:10]), at(0))
+    real = os.unlink
+    late = []
+
+    def unlink(path, *a, **k):  # between the read and the removal
+        if not late and "objects" in str(path):
+            late.append(store.put(frame(rows[10:]), at(1)))
+        return real(path, *a, **k)
+
+    monkeypatch.setattr(os, "unlink", unlink)
+    store.delete(frame(rows[:4]).select("kind", "digest"))
+    assert late == [10] and sorted(r.digest for r in store.objects().collect()) == sorted(d for _, d, _ in rows[4:])
+    store.delete(frame(rows[:4]).select("kind", "digest"))
+    assert store.objects().count() == 16 and {bytes(r.data) for r in store.objects(data=True).collect()} == {bytes(x) for _, _, x in rows[4:]}
