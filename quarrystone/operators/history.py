@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.errors import RefNotFound
-from quarrystone.scratch import written
+from quarrystone.scratch import counted, written
 
 #: Levels of a walk that are planned as one query before its result is written; parts that are read apart before they are written as one.
 LEVELS, PARTS = 4, 8
@@ -44,16 +44,17 @@ def closure(roots: DataFrame, edges: DataFrame, node: str = "node", source: str
 def reach(roots: DataFrame, edges: DataFrame, node: str = "node", source: str = "source", target: str = "target") -> DataFrame:
     """Every node reachable from ``roots``, for graphs of any shape, by doubling over distinct nodes: log4(depth) rounds.
 
-    After each round the nodes within four times the distance are known; when none is new, all are.
+    After each round the nodes within four times the distance are known; when none is new, or no path is that long, all are.
     What is kept is a row for each node, however many roots lead to it."""
-    jump = written(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_t IS NOT NULL").distinct(), "edges")
-    seen = written(roots.select(F.col(node).alias("node")).where("node IS NOT NULL").distinct(), "reach")
-    n = -1
-    while n != (n := seen.count()):
+    edges = edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_t IS NOT NULL").distinct()
+    (jump, left), (seen, n) = counted({"edges": edges, "reach": roots.select(F.col(node).alias("node")).where("node IS NOT NULL").distinct()})
+    before = -1
+    while left and n != before:
+        before = n
         for _ in range(2):
             seen = seen.union(seen.join(jump, F.col("node") == F.col("_s")).select(F.col("_t").alias("node"))).distinct()
             jump = jump.join(jump.select(F.col("_s").alias("_m"), F.col("_t").alias("_e")), F.col("_t") == F.col("_m")).select("_s", F.col("_e").alias("_t")).distinct()
-        seen, jump = written(seen, "reach"), written(jump, "jump")
+        (seen, n), (jump, left) = counted({"reach": seen, "jump": jump})
     return seen.withColumnRenamed("node", node)
 
 
@@ -68,8 +69,8 @@ def chain_closure(edges: DataFrame, roots: DataFrame, node: str = "node", parent
             got = got.union(got.join(jump, F.col("node") == F.col("_n")).select("root", F.col("_p").alias("node"), (F.col("depth") + step).alias("depth")))
             jump = jump.select(F.col("_n").alias("_a"), F.col("_p").alias("_m")).join(jump, F.col("_m") == F.col("_n")).select(F.col("_a").alias("_n"), "_p")
             step *= 2
-        got, jump = written(got, "chain"), written(jump, "jump")
-        if jump.isEmpty():
+        (got, _), (jump, left) = counted({"chain": got, "jump": jump})
+        if not left:
             return got
 
 

@@ -7,8 +7,10 @@ import contextlib
 import re
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +35,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(tables: dict[str, DataFrame]) -> list[tuple[DataFrame, int]]:
+    """Several independent tables written at the same time, each with its number of rows, which the write counts."""
+
+    def one(item: tuple[str, DataFrame]) -> tuple[DataFrame, int]:
+        seen = Observation()
+        out = written(item[1].observe(seen, F.count(F.lit(1)).alias("n")), item[0])
+        return out, seen.get["n"]
+
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return list(pool.map(one, tables.items()))
+
+
 def sweep() -> None:
     for path, spark in list(_written.items()):
         with contextlib.suppress(Exception):  # the session may be gone by now
