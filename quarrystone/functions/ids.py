@@ -86,3 +86,16 @@ def short_id(c: Column) -> Column:
 
 def snapshot_ref_name(time: Column, version: Column) -> Column:
     return F.concat(F.lit("snapshots/"), F.date_format(time, "yyyyMMdd'T'HHmmss'Z'"), F.lit("-"), F.substring(version, 1, 8))
+
+
+def object_place(kind: Column, digest: Column) -> Column:
+    """A10: an object's place in a fanned-out folder."""
+    return F.concat_ws("/", F.lit("objects"), kind, F.substring(digest, 1, 2), F.substring(digest, 3, 2), F.substring(digest, 5, 60))
+
+
+def key_of_place(path: Column) -> tuple[Column, Column]:
+    """The inverse: kind and digest; null for a foreign file."""
+    spelled = rf"^objects/({'|'.join(KINDS)})/([0-9a-f]{{2}})/([0-9a-f]{{2}})/([0-9a-f]{{60}})$"
+    part = lambda i: F.regexp_extract(path, spelled, i)
+    ok = path.rlike(spelled)
+    return F.when(ok, part(1)).alias("kind"), F.when(ok, F.concat(part(2), part(3), part(4))).alias("digest")

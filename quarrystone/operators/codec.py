@@ -8,8 +8,11 @@ space at a line's end.  Only a version's message, at its end, may have blank lin
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,3 +238,22 @@ def manifest_digest(entries: DataFrame, form: Format = DEFAULT) -> DataFrame:
     lines = manifest_lines(entries).agg(F.count("*").alias("entries"), F.array_sort(F.collect_list(F.struct("path", "line"))).alias("rows"))
     body = F.concat(F.lit(form.header("manifest") + "\n"), F.when(F.col("entries") > 0, F.concat(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))).otherwise(F.lit("")))
     return lines.select(F.lit("manifest").alias("kind"), F.sha2(body, 256).alias("digest"), "entries")
+
+
+def digested(rows: DataFrame, kind: str, of: Callable[[dict], object], key: str, form: Format = DEFAULT) -> DataFrame:
+    """(kind, key, digest): sha256 of the canonical bytes of the object that ``of`` makes of each row; the bytes are decoded
+    again, and must give the same object.  One pass, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                o = of(r)
+                data = encode(o, form)
+                if decode(kind, data, form) != o:
+                    raise MalformedObject(f"{kind} {r[key]} doesn't survive its spelling")
+                out.append((kind, r[key], hashlib.sha256(data).hexdigest()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["kind", "key", "digest"])
+
+    return rows.mapInArrow(run, "kind string, key string, digest string")

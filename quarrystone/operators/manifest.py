@@ -142,6 +142,36 @@ def status(scan: DataFrame, cache: DataFrame) -> DataFrame:
     return s.join(c, "path", "full_outer").select("path", kind.alias("status"), "scan_size", "cache_size")
 
 
+def fresh(scan: DataFrame, cache: DataFrame) -> DataFrame:
+    """Scanned files that the cache doesn't vouch for, which have to be read."""
+    c = cache.select("path", F.col("size").alias("_size"), F.col("mtime_ns").alias("_mtime"))
+    met = scan.join(c, "path", "left")
+    same = (F.col("size") == F.col("_size")) & (F.col("mtime_ns") == F.col("_mtime"))
+    return met.where(~F.coalesce(same, F.lit(False))).drop("_size", "_mtime")
+
+
+def recorded(scan: DataFrame, cache: DataFrame, hashed: DataFrame) -> DataFrame:
+    """The entries of a tree: files as they were hashed (path, file_id), the others' from the cache."""
+    known = cache.select("path", F.col("file_id").alias("_cached")).join(hashed.select("path"), "path", "left_anti")
+    met = scan.select("path", "size").join(hashed.select("path", "file_id"), "path", "left").join(known, "path", "left")
+    return met.select("path", F.coalesce("file_id", "_cached").alias("file_id"), "size")
+
+
+def sync_result(rows: DataFrame) -> DataFrame:
+    """Of merge(): files written and removed here, conflicts, and bytes written."""
+    write = F.col("file_id").isNotNull() & ~F.col("file_id").eqNullSafe(F.col("ours_file"))
+    return rows.agg(
+        F.count_if(write).alias("written"), F.count_if(F.col("file_id").isNull() & F.col("ours_file").isNotNull()).alias("removed"), F.count_if(F.col("conflict").isNotNull()).alias("conflicts"),
+        F.coalesce(F.sum(F.when(write, F.col("size"))), F.lit(0)).cast("long").alias("bytes_written"),
+    )
+
+
+def restore_plan(wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """Files of a manifest that aren't in the tree or have another size there."""
+    met = wanted.join(present.select("path", F.col("size").alias("_size")), "path", "left")
+    return met.where("_size IS NULL OR _size <> size").select("path", "file_id", "size", F.col("_size").isNull().alias("missing"))
+
+
 def extra(present: DataFrame, wanted: DataFrame) -> DataFrame:
     """Files that a checkout removes."""
     return present.join(wanted.select("path"), "path", "left_anti")

@@ -29,10 +29,14 @@ def _query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import workflows  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import workflows  # noqa: F401
+
     return dict(_SQL)
 
 
