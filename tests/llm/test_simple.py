@@ -157,7 +157,9 @@ def test_no_documents_no_shards(spark):
 def test_nulls_in_metadata():
     from quarrystone.llm import cotraining
 
-    assert cotraining.metadata_view([None, "en"], [None, "s"], [None, 5], [None, "a b."]).shape[0] == 2 and np.isfinite(cotraining.metadata_view([None], [None], [None], [None])).all()
+    meta = cotraining.Metadata.of([None, "en"] * 10, [None, "s"] * 10)
+    x = meta.view([None, "en", "fr"], [None, "s", "t"], [None, 5, -3])
+    assert x.shape == (3, len(meta.langs) + len(meta.sources) + 5) and np.isfinite(x).all() and len({tuple(r) for r in x.tolist()}) == 3
 
 
 def test_shards_of_many_equal_rows(spark, tmp_path):

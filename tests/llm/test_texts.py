@@ -270,6 +270,8 @@ def test_seeds_far_into_a_text():
     odd = [np.array([-(1 << 63), (1 << 63) - 1, 0]), np.array([-1, 1 << 62, -(1 << 62)]), np.zeros(3, np.int64)]
     assert [c.tolist() for c in passages.unpacked(passages.packed(*odd), 3)] == [c.tolist() for c in odd]
     assert [len(c) for c in passages.unpacked(passages.packed(*[np.zeros(0, np.int64)] * 2), 2)] == [0, 0]
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in passages.links(none, none, none, False)] == [0] * 4
     got = passages.links(np.array([9, 9]), np.array([1, 2]), np.array([2**24 + 7, 2**25]), False)
     assert [x.tolist() for x in got] == [[2], [2**25], [1], [2**24 + 7]]
 
