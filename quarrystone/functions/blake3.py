@@ -49,8 +49,8 @@ def _compress(cv: np.ndarray, block: np.ndarray, counter: np.ndarray, size: np.n
     return np.stack([s[i] ^ s[i + 8] for i in range(8)] + [s[i + 8] ^ cv[:, i] for i in range(8)], axis=1)
 
 
-def _roots(messages: Sequence[bytes], key: np.ndarray, mode: int) -> tuple[np.ndarray, ...]:
-    """The arguments of each message's last compression."""
+def _roots(messages: Sequence[bytes], key: np.ndarray, mode: int, before: int = 0) -> tuple[np.ndarray, ...]:
+    """The arguments of each message's last compression; ``before`` leaves of the same message went before."""
     sizes = np.array([len(m) for m in messages], np.int64)
     leaves = np.maximum(1, -(-sizes // _LEAF))
     first = np.cumsum(leaves) - leaves
@@ -62,6 +62,7 @@ def _roots(messages: Sequence[bytes], key: np.ndarray, mode: int) -> tuple[np.nd
     counter = (np.arange(total) - np.repeat(first, leaves)).astype(np.uint64)
     left = np.minimum(np.repeat(sizes, leaves) - counter.astype(np.int64) * _LEAF, _LEAF)
     blocks = np.maximum(1, -(-left // _BLOCK))
+    counter += np.uint64(before)
     cv = np.repeat(key[None, :], total, axis=0)
     alone = np.repeat(leaves == 1, leaves)
     out = [np.zeros((len(messages), 8), np.uint32), np.zeros((len(messages), 16), np.uint32), np.zeros(len(messages), np.uint64), np.zeros(len(messages), np.int64), np.zeros(len(messages), np.int64)]
@@ -120,5 +121,46 @@ def digests(messages: Sequence[bytes], context: str | None = None, n: int = 32)
     return _output(_roots(messages, np.frombuffer(_context_key(context), "<u4").astype(np.uint32), _MATERIAL), n)
 
 
+class Hasher:
+    """B2: hashes a message that comes in parts, in bounded memory.
+
+    Whole subtrees of ``SPAN`` leaves are reduced as soon as a byte follows them, and joined like
+    the carries of a binary counter; what is left over closes the tree."""
+
+    SPAN = 4096
+
+    def __init__(self, context: str | None = None):
+        self._key, self._mode = (_IV, 0) if context is None else (np.frombuffer(_context_key(context), "<u4").astype(np.uint32), _MATERIAL)
+        self._held, self._spans, self._nodes = bytearray(), 0, []
+
+    def _node(self, data: bytes) -> np.ndarray:
+        return _compress(*_roots([data], self._key, self._mode, self._spans * self.SPAN))[:, :8]
+
+    def _parent(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:
+        return self._key[None, :], np.concatenate([left, right], axis=1), np.zeros(1, np.uint64), np.full(1, _BLOCK), np.full(1, self._mode | _PARENT)
+
+    def update(self, data: bytes) -> None:
+        self._held += data
+        step, at = self.SPAN * _LEAF, 0
+        while len(self._held) - at > step:
+            node, at = self._node(bytes(self._held[at : at + step])), at + step
+            self._spans += 1
+            done = self._spans
+            while done % 2 == 0:
+                node, done = _compress(*self._parent(self._nodes.pop(), node))[:, :8], done // 2
+            self._nodes.append(node)
+        del self._held[:at]
+
+    def digest(self, n: int = 32) -> bytes:
+        rest = bytes(self._held)
+        if not self._nodes:
+            return _output(_roots([rest], self._key, self._mode), n)[0]
+        node, last = self._node(rest), None
+        for left in reversed(self._nodes):
+            last = self._parent(left, node)
+            node = _compress(*last)[:, :8]
+        return _output(last, n)[0]
+
+
 def derive_bytes(context: str, n: int, material: bytes = b"") -> bytes:
     return digests([material], context, n)[0]

@@ -50,6 +50,23 @@ def content_id(kind: str, data: bytes, algorithm: str = "blake3", form: Format =
     return content_ids(kind, [data], algorithm, form)[0]
 
 
+class ContentHasher:
+    """B2: the id of content that comes in parts."""
+
+    def __init__(self, kind: str, algorithm: str = "blake3", form: Format = DEFAULT):
+        if kind not in KINDS:
+            raise MalformedId(f"no kind {kind!r}")
+        self._of = hashlib.sha256() if algorithm == "sha256" else blake3.Hasher(form.context(kind))
+        self.size = 0
+
+    def update(self, data: bytes) -> None:
+        self._of.update(data)
+        self.size += len(data)
+
+    def id(self) -> str:
+        return self._of.digest().hex()
+
+
 def content_id_column(kind: str, data: Column, algorithm: str = "blake3", form: Format = DEFAULT) -> Column:
     """sha256 is a built-in expression; blake3 runs on Arrow batches."""
     if algorithm == "sha256":

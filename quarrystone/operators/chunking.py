@@ -7,7 +7,7 @@ window with numpy; only the choice of cuts between the least and the largest siz
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -106,6 +106,29 @@ def cuts(data: bytes, p: Params, form: Format = DEFAULT) -> list[int]:
     return out
 
 
+#: A stream is read about this many times the largest chunk at once.
+LOOK = 4
+
+
+def pieces(read: Callable[[int], bytes], p: Params, form: Format = DEFAULT) -> Iterator[bytes]:
+    """The chunks of a stream in order, as ``cuts`` has them for its whole content, in memory bounded by the largest chunk.
+
+    ``read(n)`` gives n bytes, and fewer only at the end.  A chunk that ends where the bytes read
+    so far do, below the largest size, waits for more."""
+    held = b""
+    while True:
+        more = read(LOOK * p.max)
+        data, begin = held + more, 0
+        for end in cuts(data, p, form):
+            if more and end == len(data) and end - begin < p.max:
+                break
+            yield data[begin:end]
+            begin = end
+        held = data[begin:]
+        if not more:
+            return
+
+
 #: Chunks are hashed together up to about this many bytes, whatever contents they are of.
 HASHED = 4 << 20
 

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.errors import EngineError
-from quarrystone.functions.ids import DEFAULT, Format, content_id_column
+from quarrystone.functions.ids import DEFAULT, ContentHasher, Format, content_id_column
 
 from .history import known
 
@@ -182,16 +183,44 @@ def snapshot_counters(status: DataFrame) -> DataFrame:
 
 
 def reassembled(file_chunks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """C17: the content of each file, its chunks in order; for files that fit in a row."""
+    """C17: the content of each file, its chunks in order; for files that fit in a row; in_order() is for larger ones."""
     met = file_chunks.join(chunks.select("chunk_id", "data"), "chunk_id")
     return met.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("parts")).select("file_id", F.concat(F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["data"]))).alias("data"))
 
 
 def scrub(file_chunks: DataFrame, chunks: DataFrame, algorithm: str = "blake3", form: Format = DEFAULT) -> DataFrame:
-    """Files whose content, read back from the store, doesn't have their id, or lacks a chunk."""
-    whole = reassembled(file_chunks, chunks)
-    need = file_chunks.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("length").alias("size"))
-    have = file_chunks.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("file_id").agg(F.count("*").alias("have"))
-    met = need.join(have, "file_id", "left").join(whole, "file_id", "left").withColumn("found", content_id_column("file", F.col("data"), algorithm, form))
-    why = F.when(F.coalesce("have", F.lit(0)) < F.col("n"), "missing chunk").when(F.octet_length("data") != F.col("size"), "size").when(F.col("found") != F.col("file_id"), "content")
-    return met.select("file_id", why.alias("reason")).where("reason IS NOT NULL")
+    """Files whose content, read back from the store, doesn't have their id, or lacks a chunk; one shuffle of the content,
+    of which a task holds a batch at a time."""
+    names = ["file_id", "reason"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file_id,), parts in contents(batches, 1):
+            hasher, size, lost = ContentHasher("file", algorithm, form), 0, False
+            for length, data in parts:
+                size, lost = size + length, lost or data is None
+                if not lost:
+                    hasher.update(data)
+            why = "missing chunk" if lost else "size" if hasher.size != size else "content" if hasher.id() != file_id else None
+            if why:
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (file_id, why)], names=names)
+
+    return in_order(file_chunks, chunks, ["file_id"]).mapInArrow(run, "file_id string, reason string")
+
+
+def in_order(file_chunks: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """C17: rows (keys, seq, length, data), those of a key together and in order, for contents() to read as a stream; data is null
+    where a chunk isn't there.  The sort spills, so a file may be larger than memory."""
+    met = file_chunks.join(chunks.select("chunk_id", "data"), "chunk_id", "left").select(*keys, "seq", "length", "data")
+    return met.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "seq")
+
+
+def contents(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple[int, bytes | None]]]]:
+    """Each key of rows from in_order() with its (length, bytes) one after another; a chunk that the store has twice comes once."""
+
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield tuple(c[i].as_py() for c in b.columns)
+
+    for key, group in itertools.groupby(rows(), lambda r: r[:keys]):
+        yield key, (next(same)[keys + 1 :] for _, same in itertools.groupby(group, lambda r: r[keys]))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import stat
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -111,14 +111,14 @@ def safe_join(root: str, path: str, windows: bool = False) -> str:
     return full
 
 
-def write_file(root: str, path: str, data: bytes) -> os.stat_result:
-    """Whole or not at all: a temporary file in the same folder, then a rename."""
+def write_file(root: str, path: str, parts: Iterable[bytes]) -> os.stat_result:
+    """Whole or not at all: the parts go to a temporary file in the same folder, then a rename; if they raise, nothing is left."""
     full = safe_join(root, path)
     os.makedirs(os.path.dirname(full), exist_ok=True)
     fd, tmp = tempfile.mkstemp(dir=os.path.dirname(full), prefix=".tmp-")
     try:
         with os.fdopen(fd, "wb") as f:
-            f.write(data)
+            f.writelines(parts)
             f.flush()
             os.fsync(f.fileno())
         os.chmod(tmp, 0o644)

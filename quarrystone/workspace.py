@@ -10,7 +10,6 @@ from __future__ import annotations
 import contextlib
 import datetime as dt
 import json
-import mmap
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from quarrystone import schemas
 from quarrystone.errors import Dirty, EngineError, LockHeld, LockingDisabled, NotASpace, RefNotFound, SpaceBehind, Usage
 from quarrystone.functions import ignore, paths
-from quarrystone.functions.ids import DEFAULT, Format, content_id, content_ids
+from quarrystone.functions.ids import DEFAULT, ContentHasher, Format, content_id, content_ids
 from quarrystone.functions.text import format_time
 from quarrystone.operators import chunking, codec, history, locks, manifest, storage
 from quarrystone.sources import worktree
@@ -35,27 +34,60 @@ _PARTS = "path string, file_id string, size long, seq int, chunk_id string, leng
 
 
 def ingest(files: DataFrame, root: str, params: chunking.Params, form: Format) -> DataFrame:
-    """Rows of (path) read by executors, split and hashed: a row for each chunk, one without a chunk for an empty file."""
+    """Rows of (path) read by executors as streams, split and hashed in one pass: a row for each chunk, and one for the file, which
+    alone has its id and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
         names = [x.split()[0] for x in _PARTS.split(", ")]
+        rows: list[tuple] = []
+        parts: list[bytes] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            ids = iter(content_ids("chunk", parts, form=form))
+            out = [r if r[-1] is None else (*r[:4], next(ids), *r[5:]) for r in rows]
+            rows.clear()
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
         for b in batches:
             for path in b.column(0).to_pylist():
+                whole = ContentHasher("file", form=form)
                 with open(os.path.join(root, *path.split("/")), "rb") as f:
-                    size = os.fstat(f.fileno()).st_size
-                    data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if size else b""
-                    file_id, ends = content_ids("file", [data[:]], form=form)[0], chunking.cuts(data, params, form)
-                    spans = list(zip([0, *ends], ends, strict=False))
-                    rows = [(i, data[s:e]) for i, (s, e) in enumerate(spans)]
-                ids = content_ids("chunk", [d for _, d in rows], form=form)
-                out = [(path, file_id, size, i, c, len(d), d) for (i, d), c in zip(rows, ids, strict=True)] or [(path, file_id, 0, None, None, None, None)]
-                for k in range(0, len(out), 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 16], strict=True), kinds, strict=True)], names=names)
+                    for seq, piece in enumerate(chunking.pieces(f.read, params, form)):
+                        whole.update(piece)
+                        rows.append((path, None, None, seq, None, len(piece), piece))
+                        parts.append(piece)
+                        size += len(piece)
+                        if size > chunking.HASHED:
+                            yield flush()
+                            size = 0
+                rows.append((path, whole.id(), whole.size, None, None, None, None))
+        if rows:
+            yield flush()
 
     return files.select("path").mapInArrow(run, _PARTS)
 
 
+def identified(files: DataFrame, root: str, form: Format) -> DataFrame:
+    """(path, file_id, size) of rows of (path), read by executors as streams; nothing is split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path in b.column(0).to_pylist():
+                whole = ContentHasher("file", form=form)
+                with open(os.path.join(root, *path.split("/")), "rb") as f:
+                    while part := f.read(chunking.HASHED):
+                        whole.update(part)
+                out.append((path, whole.id(), whole.size))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["path", "file_id", "size"])
+
+    return files.select("path").mapInArrow(run, schemas.MANIFEST)
+
+
 @dataclass
 class Recorded:
     version: str
@@ -197,10 +229,10 @@ class Space:
         state = manifest.status(self.scan(), self._cache()).where("status <> 'missing'")
         stat = self.scan().collect()
         fresh = {r["path"] for r in state.where("status <> 'clean'").select("path").collect()}
-        parts = ingest(self.spark.createDataFrame([(p,) for p in sorted(fresh)], "path string").repartition(max(1, min(len(fresh), 64))), self.root, self.params, self.form).persist()
+        parts = ingest(self.spark.createDataFrame([(p,) for p in sorted(fresh)], "path string").repartition(max(1, min(len(fresh), 4 * self.spark.sparkContext.defaultParallelism))), self.root, self.params, self.form).persist()
         try:
             n = self.store.put(parts.where("chunk_id IS NOT NULL").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("digest"), "data"), now)
-            whole = parts.groupBy("path", "file_id", "size").agg(F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "chunk_id", "length")))).alias("c"))
+            whole = parts.groupBy("path").agg(F.max("file_id").alias("file_id"), F.max("size").alias("size"), F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "chunk_id", "length")))).alias("c"))
             n += self.store.put(self._file_objects(whole), now)
             files = whole.select("path", "file_id", "size").collect()
         finally:
@@ -311,35 +343,37 @@ class Space:
     # J6-J8
 
     def _write(self, rows: list) -> int:
-        """Writes (path, file_id, size) after all paths were looked at; size and content are verified."""
+        """Writes (path, file_id, size) after all paths were looked at; size and content are verified.  A task writes a file
+        chunk by chunk and names it when its content is found right, so files may be larger than memory."""
         for r in rows:
             worktree.safe_join(self.root, r["path"])
         if not rows:
             return 0
         want = self.spark.createDataFrame([(r["file_id"],) for r in rows], "file_id string").distinct()
         chunks = self._decoded_files("file").join(want, "file_id", "left_semi")
-        data = storage.reassembled(chunks, self.store.objects(data=True).where("kind = 'chunk'").select(F.col("digest").alias("chunk_id"), "data"))
+        stored = self.store.objects(data=True).where("kind = 'chunk'").select(F.col("digest").alias("chunk_id"), "data")
         asked = self.spark.createDataFrame([(r["path"], r["file_id"], r["size"]) for r in rows], schemas.MANIFEST)
         root, form = self.root, self.form
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                n = 0
-                for p, f, z, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    x = x or b""
-                    if len(x) != z or content_id("file", x, form=form) != f:
-                        raise EngineError(f"{p}: the store doesn't have its content")
-                    worktree.write_file(root, p, x)
-                    n += 1
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-        done = asked.join(data, "file_id", "left").select("path", "file_id", "size", "data").mapInArrow(run, "n long")
+            for (path, file_id, size), parts in storage.contents(batches, 3):
+                worktree.write_file(root, path, checked(path, file_id, size, parts))
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
+
+        def checked(path: str, file_id: str, size: int, parts: Iterator[tuple[int | None, bytes | None]]) -> Iterator[bytes]:
+            whole = ContentHasher("file", form=form)
+            for _, data in parts:
+                whole.update(data or b"")
+                yield data or b""
+            if whole.size != size or whole.id() != file_id:
+                raise EngineError(f"{path}: the store doesn't have its content")
+
+        done = storage.in_order(asked.join(chunks, "file_id", "left"), stored, ["path", "file_id", "size"]).mapInArrow(run, "n long")
         return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def _present(self) -> DataFrame:
         """(path, file_id, bytes), hashed anew, the cache ignored."""
-        got = ingest(self.scan(), self.root, self.params, self.form)
-        return got.select("path", "file_id", F.col("size").alias("bytes")).distinct()
+        return identified(self.scan(), self.root, self.form).withColumnRenamed("size", "bytes")
 
     def check(self, scopes: tuple[str, ...] = ("local",)) -> DataFrame:
         """What may be removed: (path, file_id, verdict, missing_chunks)."""
@@ -510,4 +544,4 @@ class Space:
         return sum(r["read_only"] for r in rows)
 
 
-__all__ = ["Recorded", "Space", "Synced", "format_time", "ingest"]
+__all__ = ["Recorded", "Space", "Synced", "format_time", "identified", "ingest"]

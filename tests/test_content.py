@@ -1,4 +1,6 @@
+import io
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -82,6 +84,47 @@ def test_cuts_over_spans(monkeypatch):
     assert chunking.cuts(data[:3000], tiny) == naive(data[:3000], tiny)
 
 
+def test_hash_in_parts(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(blake3.Hasher, "SPAN", 4)
+    for n in (0, 1, 64, 1023, 1024, 1025, 4095, 4096, 4097, 8192, 8193, 12288, 16384, 20480, 20481, 32768, 45000):
+        data, hasher, sized = rng.randbytes(n), blake3.Hasher("some context"), ids.ContentHasher("file")
+        while sized.size < n:
+            part = data[sized.size : sized.size + rng.randrange(1, 7000)]
+            hasher.update(part)
+            sized.update(part)
+        assert hasher.digest(100) == blake3.digests([data], "some context", 100)[0]
+        assert sized.id() == ids.content_id("file", data)
+    by_sha = ids.ContentHasher("file", "sha256")
+    by_sha.update(b"ab")
+    assert by_sha.id() == ids.content_id("file", b"ab", "sha256")
+
+
+@pytest.mark.parametrize("p", [SMALL, chunking.Params(64, 6, 300), chunking.Params(16, 5, 100)])
+def test_pieces_equal_cuts(p):
+    for n in (0, 1, 511, 512, 2047, 2048, 8192, 8193, 30000):
+        for data in (random.Random(n).randbytes(n), bytes(n)):
+            got = list(chunking.pieces(io.BytesIO(data).read, p))
+            assert b"".join(got) == data and np.cumsum([0, *map(len, got)]).tolist()[1:] == chunking.cuts(data, p)
+
+
+def test_pieces_take_bounded_memory():
+    rng, left, hasher = np.random.default_rng(1), 48 << 20, ids.ContentHasher("file")
+
+    def read(n):
+        nonlocal left
+        n = min(n, left)
+        left -= n
+        return rng.bytes(n)
+
+    tracemalloc.start()
+    for piece in chunking.pieces(read, chunking.Params(64 << 10, 16, 256 << 10)):
+        hasher.update(piece)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hasher.size == 48 << 20 and peak < 40 << 20
+
+
 def test_constant_runs_and_parameters():
     assert chunking.cuts(b"\0" * 4096, SMALL) in ([512 * i for i in range(1, 9)], [2048, 4096])
     for bad in ((0, 9, 10), (10, 9, 5), (10, 0, 20), (10, 64, 20)):
