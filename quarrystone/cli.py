@@ -16,6 +16,8 @@ from quarrystone.functions import text
 from quarrystone.workspace import Space
 
 VERSION = "0.1"
+#: Verbs without arguments; what follows them is ignored.
+PLAIN = ("status", "snapshot", "log", "snapshots", "expire", "restore", "sync", "locks", "version", "help")
 _UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
@@ -37,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
         for f, kind in flags.items():
             v.add_argument(f"--{f.replace('_', '-')}", dest=f, **({"action": "store_true"} if kind == "flag" else {"default": None}))
 
-    for name in ("status", "snapshot", "log", "snapshots", "expire", "restore", "sync", "locks", "version", "help"):
+    for name in PLAIN:
         verb(name)
     verb("init", "store")
     verb("commit", message=True)
@@ -65,9 +67,13 @@ def seconds(duration: str | None) -> int | None:
 def main(argv: list[str], spark: SparkSession, folder: str = ".", now: dt.datetime | None = None, out: Callable[[str], None] = print, **space) -> int:
     """Runs a verb; 0, or 2 for a usage error, or 1 for any other."""
     try:
-        if not argv:
-            raise Usage("no verb")
-        a = parser().parse_args(argv)
+        if not argv or argv[0] in ("-h", "--help"):
+            argv = ["help"]
+        if argv[0] == "space":  # the verbs on the space itself: space check, space clear
+            if argv[1:2] not in (["check"], ["clear"]):
+                raise Usage("space check or space clear")
+            argv = argv[1:]
+        a = parser().parse_args(argv[:1] if argv[0] in PLAIN else argv)
         _run(a, spark, folder, now or dt.datetime.now(dt.UTC).replace(tzinfo=None, microsecond=0), out, space)
     except Usage as e:
         out(f"usage: {e}")
