@@ -407,3 +407,13 @@ def test_blocks(spark, monkeypatch):
     got = [(r.a, r.b) for r in neardup.blocks_verified(brute.documents(spark, texts), left, 3, 85).collect()]
     links = brute.near_links(dict(enumerate(texts)), 3, 85, 100)[1]
     assert set(got) <= set(links) and brute.components(range(len(texts)), got) == brute.components(range(len(texts)), links)
+
+
+def test_pieces_of_few_rows_are_plain_and_few(spark, monkeypatch):
+    """A task of many partitions sends each of them one piece of each part, not one for each part of its own."""
+    cols = [np.array([5, -3, 2**62]), np.array([1, 2, 3])]
+    assert [c.tolist() for c in passages.unpacked(passages.packed(*cols), 2)] == [c.tolist() for c in cols]
+    assert len(passages.packed(*cols)) == 8 + 2 * 3 * 8
+    texts = [" ".join(f"w{i % 7}x{j}" for j in range(80)) for i in range(70)]
+    rows = passages.matched(brute.documents(spark, texts).coalesce(1), passages.SEED_WORDS).collect()
+    assert rows and all(len(r.data) == passages.SUB for r in rows) and len({r.part for r in rows}) > 1
